@@ -150,3 +150,34 @@ def unplanes(data: bytes, kind: type) -> np.ndarray:
 def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     """Which of so many equal ranges of the 64-bit hash space each hash is in."""
     return ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+
+
+def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[dict]]]:
+    """Rows that arrive sorted by key, a key's rows at a time."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0][key] != row[key]:
+                yield held[0][key], held
+                held = []
+            held.append(row)
+    if held:
+        yield held[0][key], held
+
+
+def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values starts, and its length."""
+    if not len(sorted_values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1])))
+    return starts, np.diff(np.append(starts, len(sorted_values)))
+
+
+def nullable(values: list[int | None]) -> bytes:
+    """Long values that may be null, as bytes: a null flag each, then the values."""
+    return np.array([v is None for v in values], np.uint8).tobytes() + np.array([v or 0 for v in values], "<i8").tobytes()
+
+
+def from_nullable(data: bytes) -> list[int | None]:
+    n = len(data) // 9
+    return [None if gone else v for gone, v in zip(data[:n], np.frombuffer(data, "<i8", n, n).tolist(), strict=True)]
