@@ -1,13 +1,65 @@
-"""Corpus preparation as a chain of stages, each written as Parquet and read again as the next one's documents."""
+"""Corpus preparation as a chain of stages, each written as Parquet and read again as the next one's documents.
+
+Every stage but the last returns the columns of its documents. Rows that share a doc_id and a text share their fate; a null
+doc_id is a document like others, a null text an empty one. Empty tables pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from relfeat.llm.common import materialize, table
+from relfeat.llm.decontaminate import benchmark_hits, contaminated
+from relfeat.llm.jaccard import similar_documents
+from relfeat.llm.mixing import mix_sources
+from relfeat.llm.token_files import op7_token_files
+from relfeat.llm.toxicity import held_out, reject_toxic, train
+
+
+def _row(docs: DataFrame) -> DataFrame:
+    """docs with names for its rows that no column of docs has."""
+    return docs.withColumns({"__doc": F.col("doc_id"), "__row": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go. It learns from the labels that its own query learns from."""
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    return reject_toxic(docs, train(docs, labels, spark), spark)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links join, the one with the least doc_id stays. Documents without words all stay."""
+    alike = similar_documents(docs, spark)
+    gone = alike.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("g_doc")).distinct()
+    rows = _row(docs)
+    return rows.join(gone, rows["__doc"].eqNullSafe(gone["g_doc"]), "left_anti").drop("__doc", "__row")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark passages cover a twentieth or more go."""
+    hits = benchmark_hits(docs, table(spark, sf_dir, "benchmark"), spark)
+    gone = hits.where(contaminated()).select(F.col("doc_id").alias("g_doc"), F.col("row").alias("g_row")).distinct()
+    rows = _row(docs)
+    return rows.join(gone, rows["__doc"].eqNullSafe(gone["g_doc"]) & (rows["__row"] == gone["g_row"]), "left_anti").drop("__doc", "__row")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes their words: taken / size, rounded, so 0 to 2 times. Without words: once."""
+    plan = mix_sources(docs, spark).groupBy(F.col("doc_id").alias("m_doc"), F.col("row").alias("m_row")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    plan = plan.select("m_doc", "m_row", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int").alias("times"))
+    rows = _row(docs)
+    met = rows.join(plan.hint("shuffle_hash"), rows["__doc"].eqNullSafe(plan["m_doc"]) & (rows["__row"] == plan["m_row"]))
+    return met.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select(*(f"`{c}`" for c in docs.columns))
+
+
+def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back: one row a document."""
+    return op7_token_files(spark, docs)
+
 
-STAGES: list = []
-#: The stages learn a model, fit a schedule and write token files; SQL cannot express them.
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_copies), ("decontamination", drop_contaminated), ("mixing", mix), ("token_files", write_ids)]
+#: The stages learn a model, follow a schedule and write token files; SQL cannot express them.
 ORACLE_SQL = None
 
 

@@ -103,7 +103,7 @@ def _extend(window: int):
                 n_hit.append(int(hit.sum()))
                 items.append(sorted(x for x in found if x is not None))
                 spans.append(np.flatnonzero(np.diff(np.concatenate(([0], hit)))).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.int64()))], ["doc_id", "n_words", "n_hit", "items", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.int64()))], ["doc_id", "row", "n_words", "n_hit", "items", "spans"])
 
     return run
 
@@ -113,7 +113,7 @@ def _keyed(frame: DataFrame, key: str) -> DataFrame:
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, spark: SparkSession, window: int = 13, k: int = 5) -> DataFrame:
-    """Every row of docs: doc_id, n_words, n_hit, items (ascending item_ids) and spans of hit words.
+    """Every row of docs: doc_id, row (the text's hash), n_words, n_hit, items (ascending item_ids) and spans of hit words.
 
     Words: A-Z lower-cased, runs of digits, letters and code points beyond ASCII. A window is `window` successive words of an
     item, or a shorter item's whole words; an item without words has none. A document's word is hit if an occurrence of
@@ -140,7 +140,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, spark: SparkSession, windo
     met = met.join(named, met["item_id"].eqNullSafe(named["b_item"]) & (met["item_row"] == named["b_row"]))
     hits = met.groupBy(F.col("doc_id").alias("h_doc"), F.col("row").alias("h_row")).agg(F.collect_list(F.struct("item_id", "item_text", "shift")).alias("hits"))
     both = base.join(hits.hint("shuffle_hash"), base["doc_id"].eqNullSafe(hits["h_doc"]) & (base["row"] == hits["h_row"]), "left")
-    return both.select("doc_id", "text", "hits").mapInArrow(_extend(window), "doc_id long, n_words long, n_hit long, items array<long>, spans array<long>")
+    return both.select("doc_id", "row", "text", "hits").mapInArrow(_extend(window), "doc_id long, row long, n_words long, n_hit long, items array<long>, spans array<long>")
 
 
 def contaminated() -> Column:

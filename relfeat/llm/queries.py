@@ -11,6 +11,7 @@ from relfeat.llm.common import table
 from relfeat.llm.decontaminate import op10_decontaminate
 from relfeat.llm.jaccard import op4_ngram_jaccard
 from relfeat.llm.line_dedup import op1_line_dedup
+from relfeat.llm.lm_score import op5_lm_score
 from relfeat.llm.mixing import op2_mixing
 from relfeat.llm.substring_dedup import op8_substring_dedup
 from relfeat.llm.token_files import op7_token_files
@@ -31,6 +32,7 @@ def queries() -> dict[str, Query]:
         "op2_mixing": _on(op2_mixing, "documents"),
         "op3_toxicity": _on(op3_toxicity, "documents", "labels"),
         "op4_ngram_jaccard": _on(op4_ngram_jaccard, "documents"),
+        "op5_lm_score": _on(op5_lm_score, "documents"),
         "op6_topk_search": _on(op6_topk_search, "embeddings"),
         "op7_token_files": _on(op7_token_files, "documents"),
         "op8_substring_dedup": _on(op8_substring_dedup, "documents"),

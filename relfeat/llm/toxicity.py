@@ -267,6 +267,21 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, spark: SparkSession) -
     return docs.select("doc_id", text_bytes()).mapInArrow(run, "doc_id long, score double")
 
 
+def reject_toxic(docs: DataFrame, model: ToxicityModel, spark: SparkSession, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose text scores below threshold."""
+    spread, names = spark.sparkContext.broadcast(model), docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).fill_null("").cast(pa.binary())
+            named = pa.RecordBatch.from_arrays([texts], ["text"])
+            scores = [spread.value.score(part.column("text").to_pylist()) for part in slices(iter([named]), "text")]
+            yield batch.filter(pa.array(np.concatenate([*scores, np.zeros(0)]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels.where(~held_out()), spark)
     return score_toxicity(docs, model, spark).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
