@@ -5,9 +5,9 @@ fragments. Each fragment counts how many documents hold each of its n-grams. Two
 an n-gram among the first n - ceil(t n) + 1 in global order, so only those prefixes are compared; a pair's overlaps are
 counted fragment by fragment and summed per pair.
 
-Equal texts are one node from the start. Nodes that share a prefix n-gram are compared with two hubs of its list first;
-then, only nodes of different components so far are compared with each other. That finds the same components as all
-pairs would, without the pairs inside a component.
+Equal texts are one node from the start. Nodes that share a prefix n-gram form a list. First, each node is compared with
+the hub of its longest list; next, one node of each component in a list with its hub; last, nodes of a list that are still in
+different components with each other. That finds the same components as all pairs would, without the pairs inside one.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from relfeat.llm.graph import components
 
 #: Fragments in which a pair's overlap is counted.
 _PARTS = 4
+#: Words of 64 bits in a set's parity mark.
+_MARK = 16
 _BLOCK = pa.schema([("fragment", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("owners", pa.binary()), ("documents", pa.binary())])
 _REPLY = pa.schema([("chunk", pa.int64()), ("grams", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary()), ("documents", pa.binary())])
 _SETS = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("grams", pa.binary())])
@@ -149,6 +151,21 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("node", pa.int64()), ("part", pa.int32()), ("piece", pa.binary())]))
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each set how many n-grams no other has, and a mark in which every shared one flips one bit.
+
+    Sets differ in as many n-grams at least as their marks differ in bits.
+    """
+    for batch in batches:
+        alone, marks = [], []
+        for n, data in zip(batch.column("n").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+            gram = np.frombuffer(data, np.uint64)
+            flips = np.bincount((gram % np.uint64(64 * _MARK)).astype(np.int64), minlength=64 * _MARK)
+            alone.append(n - len(gram))
+            marks.append(np.packbits(flips & 1).view(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(alone, pa.int64()), pa.array(marks, pa.list_(pa.int64()))], ["node", "alone", "mark"])
+
+
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         common = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), True)) for a, b in zip(batch.column("piece_a").to_pylist(), batch.column("piece_b").to_pylist(), strict=True)]
@@ -194,27 +211,43 @@ def similar_documents(docs: DataFrame, spark: SparkSession, k: int = 5, percent:
     lists = materialize(able.mapInArrow(_prefixes(percent), "gram long, node long, n long, place long"), spark)
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    hub = F.struct("node", "n")
-    hubs = lists.groupBy("gram").agg(F.array_distinct(F.array(F.min(hub), F.max(hub))).alias("hubs")).where(F.size("hubs") > 1)
-    hubs = materialize(hubs, spark)
-    near = lists.join(hubs, "gram").select("node", "n", F.explode("hubs").alias("hub")).where((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n")))
-    near = near.select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v"), (F.col("n") + F.col("hub.n")).alias("total")).distinct()
+    pair = lambda a, b: (F.least(a["node"], b["node"]).alias("u"), F.greatest(a["node"], b["node"]).alias("v"), (a["n"] + b["n"]).alias("total"))
+    me, hub = F.struct("node", "n"), F.col("hub")
+    # First, each node and the hub of its longest list.
+    hubs = materialize(lists.groupBy("gram").agg(F.count("*").alias("size"), F.min(me).alias("hub")).where(F.col("size") > 1), spark)
+    longest = lists.join(hubs, "gram").groupBy("node", "n").agg(F.max(F.struct("size", "gram", "hub"))["hub"].alias("hub"))
+    near = longest.where((F.col("node") != hub["node"]) & fits(F.col("n"), hub["n"])).select(*pair(me, hub)).distinct()
     near = materialize(near, spark)
     links = _alike(near, parts, spark, percent)
-    joined = materialize(components(links, spark), spark)
 
-    placed = materialize(lists.join(joined, "node", "left").select("gram", "node", "n", "place", F.coalesce("component", "node").alias("component")), spark)
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").join(hubs.select("gram", F.col("hubs")[0]["node"].alias("hub")), "gram")
-    mixed = materialize(mixed.select("gram", "hub"), spark)
-    listed = materialize(placed.join(mixed, "gram"), spark)
-    main = listed.where("node = hub").select("gram", F.col("component").alias("main"))
-    listed = listed.join(main, "gram")
-    few = listed.where("component <> main").select("gram", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("place").alias("a_place"), F.col("component").alias("a_component"))
-    cross = few.join(listed, "gram").where("component <> a_component and (component = main or a < node)").where(fits(F.col("a_n"), F.col("n")))
+    def placed() -> DataFrame:
+        """The lists that still hold several components, with their members' components and the hub's."""
+        joined = components(links, spark)
+        rows = lists.join(joined, "node", "left").select("gram", "node", "n", "place", F.coalesce("component", "node").alias("component"))
+        rows = materialize(rows, spark)
+        mixed = rows.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+        mains = rows.join(hubs.select("gram", F.col("hub")), "gram").where(F.col("node") == hub["node"]).select("gram", F.col("component").alias("main"), "hub")
+        return materialize(rows.join(materialize(mixed.join(mains, "gram").select("gram", "main", "hub"), spark), "gram"), spark)
+
+    # Then, one node of each other component in a list and the list's hub.
+    some = placed().where("component <> main").groupBy("gram", "component").agg(F.min(me).alias("one"), F.first("hub").alias("hub"))
+    some = some.where(fits(F.col("one")["n"], hub["n"])).select(*pair(F.col("one"), hub)).distinct().join(near.select("u", "v"), ["u", "v"], "left_anti")
+    some = materialize(some, spark)
+    links = materialize(links.unionByName(_alike(some, parts, spark, percent)), spark)
+    near = near.unionByName(some)
+
+    # Last, all that a list holds of different components.
+    listed = placed().join(materialize(able.mapInArrow(_marks, "node long, alone long, mark array<long>"), spark), "node")
+    few = listed.where("component <> main").select("gram", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "place", "component", "alone", "mark")))
+    cross = few.join(listed, "gram").where("component <> a_component and (component = main or a_node < node)").where(fits(F.col("a_n"), F.col("n")))
     # What can still be common from the shared n-gram on; at a pair's first common one this holds if they are alike.
     total = F.col("a_n") + F.col("n")
     cross = cross.where((100 + percent) * F.least(F.col("a_n") - F.col("a_place"), F.col("n") - F.col("place")) >= percent * total)
-    cross = cross.select(F.least("a", "node").alias("u"), F.greatest("a", "node").alias("v"), total.alias("total")).distinct().join(near.select("u", "v"), ["u", "v"], "left_anti")
+    apart = F.col("alone") + F.col("a_alone")
+    for i in range(_MARK):
+        apart = apart + F.bit_count(F.col("mark")[i].bitwiseXOR(F.col("a_mark")[i]))
+    cross = cross.where((100 + percent) * apart <= (100 - percent) * total)
+    cross = cross.select(F.least("a_node", "node").alias("u"), F.greatest("a_node", "node").alias("v"), total.alias("total")).distinct().join(near.select("u", "v"), ["u", "v"], "left_anti")
     links = links.unionByName(_alike(materialize(cross, spark), parts, spark, percent))
     joined = materialize(components(links, spark), spark)
 
