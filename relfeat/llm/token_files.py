@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +35,7 @@ RANK_STEP = 512
 #: Tokens in one shard file, about.
 SHARD_TOKENS = 4_000_000
 #: Entries of the memo of encoded words before it is emptied.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 400_000
 
 
 def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -114,7 +115,8 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 #: Words of Latin-1 letters with closing marks: their pieces are known without the library's normalizer and splitter.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_CLOSING = ".,;:!?"
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -135,19 +137,26 @@ class WordEncoder(dict):
         super().__init__()
         self.library = tokenizer(path)
         self.model = self.library.model
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
         self.letters = _byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        plain = _PLAIN.fullmatch(text)
-        value = self[word] = self.piece(plain[1].lower()) + self.piece(plain[2]) if plain else self.whole(text)
+        core = word.rstrip(_CLOSING.encode())
+        if core.isalpha():  # ASCII letters only
+            value = self.piece(core.lower())
+        elif core and _LETTERS.fullmatch(text := core.decode()):
+            value = self.piece(text.lower().encode())
+        else:
+            core, value = word, self.whole(word.decode())
+        if len(core) < len(word):
+            value += self.piece(word[len(core) :])
+        self[word] = value
         return value
 
-    def piece(self, text: str) -> bytes:
+    def piece(self, text: bytes) -> bytes:
         if (value := self.pieces.get(text)) is None:
-            spelled = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-            value = self.pieces[text] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes() if text else b""
+            spelled = text.decode("latin-1").translate(self.letters)
+            value = self.pieces[text] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return value
 
     def whole(self, text: str) -> bytes:
