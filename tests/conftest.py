@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import sys
 import warnings
 from pathlib import Path
@@ -11,13 +10,10 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-sys.path.insert(0, str(Path(__file__).parents[1]))
+sys.path[:0] = [str(Path(__file__).parents[1]), str(Path(__file__).parent)]
 
 import relfeat  # noqa: E402
-
-
-def day(n: int) -> dt.datetime:
-    return dt.datetime(2024, 1, n)
+from helpers import day  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -46,8 +42,3 @@ def shop(spark: SparkSession) -> relfeat.Database:
 @pytest.fixture(autouse=True)
 def quiet() -> None:
     warnings.simplefilter("ignore", ResourceWarning)
-
-
-def column(matrix, name: str) -> list:
-    """A matrix's column in the order of its first."""
-    return [r[name] for r in matrix.orderBy(matrix.columns[0]).collect()]

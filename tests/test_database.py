@@ -6,7 +6,7 @@ import datetime as dt
 import warnings
 
 import pytest
-from conftest import day
+from helpers import day
 
 import relfeat
 from relfeat import errors

@@ -9,7 +9,7 @@ import warnings
 from dataclasses import dataclass
 
 import pytest
-from conftest import column, day
+from helpers import column, day
 from pyspark.sql import functions as F
 
 import relfeat
