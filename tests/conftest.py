@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import warnings
 from pathlib import Path
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 sys.path[:0] = [str(Path(__file__).parents[1]), str(Path(__file__).parent)]
 
+os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (str(Path(__file__).parents[1]), os.environ.get("PYTHONPATH")) if p)  # for Spark's Python workers
+
 import relfeat  # noqa: E402
 from helpers import day  # noqa: E402
 
