@@ -52,8 +52,10 @@ def materialize(df: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The planner's estimate of df's size; costs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The planner's sizes of the tables that df reads, summed; costs no job. Tables of unknown size count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
 
 
 def fragments_for(df: DataFrame, spark: SparkSession, bytes_each: int = 16 << 20) -> int:
