@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from relfeat.llm.common import materialize
 
 _PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-#: Links that one task contracts at a time.
+#: Nodes whose links one task contracts at a time.
 _HELD = 200_000
+#: Links up to which one task joins them all: it then holds at most two nodes a link.
+FEW_LINKS = 90_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,12 +54,15 @@ def _least(links: DataFrame, spark: SparkSession) -> DataFrame:
 def components(links: DataFrame, spark: SparkSession) -> DataFrame:
     """(node, component) of every node of the links (u, v): component is the least node that it is joined to.
 
-    Alternating large-star and small-star steps; the number of rounds grows as the logarithm of the longest chain. Links of
-    a node with itself and repeated links change nothing; no links give an empty result.
+    Each task first contracts its own links. If few are left, one task joins them; else large-star and small-star steps
+    alternate, whose rounds grow in number as the logarithm of the longest chain. Links of a node with itself and repeated
+    links change nothing; no links give an empty result.
     """
     links = materialize(links.select("u", "v").where("u <> v").mapInArrow(_contract, "u long, v long").distinct(), spark)
-    seen = None
-    while True:
+    seen, few = None, links.count() <= FEW_LINKS
+    if few:
+        links = materialize(links.repartition(1).mapInArrow(_contract, "u long, v long"), spark)
+    while not few:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least(both, spark).withColumn("least", F.least("least", "u"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()

@@ -195,9 +195,10 @@ def similar_documents(docs: DataFrame, spark: SparkSession, k: int = 5, percent:
     base = docs.select("doc_id", text_bytes())
     rows = materialize(base.mapInArrow(_nodes, "doc_id long, node long, empty boolean"), spark)
     least = materialize(rows.where("not empty").groupBy("node").agg(F.min("doc_id").alias("least_doc")), spark)
-    # Of copies, one text goes on: documents of which every row is a copy of a smaller doc_id's are left out.
-    copies = rows.where("not empty").join(least, "node").groupBy("doc_id").agg(F.min(F.col("doc_id") > F.col("least_doc")).alias("copy")).where("copy")
-    copies = materialize(copies.select("doc_id"), spark)
+    # Of copies, one text goes on: documents with a text that a smaller doc_id has too are left out, unless they have several.
+    several = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    copies = rows.where("not empty").join(least.withColumnRenamed("node", "least_node"), (F.col("node") == F.col("least_node")) & (F.col("doc_id") > F.col("least_doc"))).select("doc_id")
+    copies = materialize(copies.join(several, "doc_id", "left_anti"), spark)
     firsts = base.join(copies, "doc_id", "left_anti")
 
     fragments = fragments_for(base, spark)
@@ -251,10 +252,10 @@ def similar_documents(docs: DataFrame, spark: SparkSession, k: int = 5, percent:
     links = links.unionByName(_alike(materialize(cross, spark), parts, spark, percent))
     joined = materialize(components(links, spark), spark)
 
-    grouped = least.join(joined, "node", "left").select("node", "least_doc", F.coalesce("component", "node").alias("component"))
-    names = materialize(grouped.groupBy("component").agg(F.min("least_doc").alias("component_id")), spark)
+    whole = lambda frame: frame.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = materialize(whole(least).groupBy("component").agg(F.min("least_doc").alias("component_id")), spark)
     sizes = sets.groupBy("node").agg(F.max("n").cast("long").alias("n_shingles"))
-    known = materialize(grouped.join(names, "component").join(sizes, "node").select("node", "n_shingles", "component_id"), spark)
+    known = materialize(whole(sizes).join(names, "component").select("node", "n_shingles", "component_id"), spark)
     full = rows.where("not empty").join(known, "node").select("doc_id", "n_shingles", "component_id")
     return full.unionByName(rows.where("empty").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 

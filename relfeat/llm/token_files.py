@@ -35,15 +35,16 @@ RANK_STEP = 512
 #: Tokens in one shard file, about.
 SHARD_TOKENS = 4_000_000
 #: Entries of the memo of encoded words before it is emptied.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 
 
 def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
     """A shard file's bytes. No documents, or documents without ids, are allowed."""
-    parts, rest = [], ids.astype(np.uint32)
+    parts, rest = [], ids
     while True:
         more = rest > 0xFF
-        ranks = np.concatenate(([0], np.cumsum(more, dtype=np.int64)))[:: RANK_STEP][: len(rest) // RANK_STEP + 1]
+        whole = len(rest) // RANK_STEP
+        ranks = np.concatenate(([0], np.cumsum(more[: whole * RANK_STEP].reshape(whole, RANK_STEP).sum(1, dtype=np.int64))))
         parts += [np.int64(len(rest)).tobytes(), (rest & 0xFF).astype(np.uint8).tobytes(), np.packbits(more, bitorder="little").tobytes(), ranks.astype("<i8").tobytes()]
         if not more.any():
             break

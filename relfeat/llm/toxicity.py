@@ -34,7 +34,8 @@ _SPELL = bytes.maketrans(b"013457@$!|", b"oieastasil")
 _EDGES = b".,;:!?\"'()[]{}<>*-_/\\"
 #: Words between a lexicon word and the second person that count as near.
 NEAR = 5
-_MEMO = 300_000
+#: Words that a memo holds before it is emptied: of profiles, and of what can be entries.
+_MEMO, _UNITS = 150_000, 40_000
 FEATURES = ("strong", "weak", "weight", "heaviest", "kinds", "count", "second", "near", "shouted", "capitals", "exclaimed", "punctuation", "obfuscated", "digits", "length", "stretched")
 
 
@@ -99,6 +100,10 @@ class Lexicon:
     def __getstate__(self) -> dict:
         return {"weights": self.weights, "memo": {}, "profiles": {}}
 
+    def forget(self) -> None:
+        """Free what texts have left: a Python worker outlives its task."""
+        self.memo.clear()
+
 
 @dataclass
 class Trees:
@@ -206,7 +211,7 @@ def _count_units(known: frozenset | None):
                         found = of[word] = found if known is None else tuple(u for u in found if u in known)
                     seen.update(found)
                 counts[not toxic].update(seen)
-                if len(of) > _MEMO:
+                if len(of) > _UNITS:
                     of.clear()
             both = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(both, pa.binary()), *(pa.array([c[u] for u in both], pa.int64()) for c in counts)], ["unit", "toxic", "clean"])
@@ -245,6 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, label: str =
         for batch in slices(batches, "text"):
             x = spread.value.features(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array(c) for c in x.T)], ["doc_id", "toxic", *FEATURES])
+        spread.value.forget()
 
     got = rows.mapInArrow(run, "doc_id long, toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas().sort_values(["doc_id", *FEATURES])
     x, y = got[list(FEATURES)].to_numpy(float), got["toxic"].to_numpy(float)
@@ -263,6 +269,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, spark: SparkSession) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spread.value.score(batch.column("text").to_pylist()))], ["doc_id", "score"])
+        spread.value.lexicon.forget()
 
     return docs.select("doc_id", text_bytes()).mapInArrow(run, "doc_id long, score double")
 
@@ -278,6 +285,7 @@ def reject_toxic(docs: DataFrame, model: ToxicityModel, spark: SparkSession, thr
             named = pa.RecordBatch.from_arrays([texts], ["text"])
             scores = [spread.value.score(part.column("text").to_pylist()) for part in slices(iter([named]), "text")]
             yield batch.filter(pa.array(np.concatenate([*scores, np.zeros(0)]) < threshold))
+        spread.value.lexicon.forget()
 
     return docs.mapInArrow(run, docs.schema)
 
