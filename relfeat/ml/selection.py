@@ -84,7 +84,7 @@ class DFSSelector(DFSTransformer):
         matrix = self._typed(self._matrix(keys, None, None)).persist()
         try:
             matrix, label = self._labelled(matrix, keys, y)
-            features = matrix.drop(POSITION, *([label] if label else []))
+            features = matrix.select(*map(named, self.features_.output_names))
             fitted = encoder.fit(features)
             encoded = fitted.transform(matrix, keep=[POSITION, *([label] if label else [])])
             names = list(fitted.get_feature_names_out())

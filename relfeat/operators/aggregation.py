@@ -253,6 +253,7 @@ class NUnique(AggregationPrimitive):
     """Distinct values, null being one."""
 
     name, input_dtypes, output_dtype, default_value, stack_on_self, takes_rows = "n_unique", (D.ANY,), LONG, 0, False, True
+    counts_distinct = True
 
     def build(self, column: Column, *, rows: Column | None = None) -> Column:
         return n_unique(column, rows)
@@ -268,6 +269,7 @@ class IsUnique(AggregationPrimitive):
     """Whether no value repeats, null being one."""
 
     name, input_dtypes, output_dtype, takes_rows = "is_unique", (D.ANY,), BOOLEAN, True
+    counts_distinct = True
 
     def build(self, column: Column, *, rows: Column | None = None) -> Column:
         return n_unique(column, rows) == _n(rows)
@@ -279,6 +281,7 @@ class PercentUnique(AggregationPrimitive):
     """Distinct values, null being one, as a share of the rows."""
 
     name, input_dtypes, output_dtype, takes_rows = "percent_unique", (D.ANY,), DOUBLE, True
+    counts_distinct = True
 
     def build(self, column: Column, *, rows: Column | None = None) -> Column:
         return n_unique(column, rows) / F.nullif(_n(rows), F.lit(0))
@@ -287,7 +290,7 @@ class PercentUnique(AggregationPrimitive):
 class _NUniqueOf(AggregationPrimitive):
     """Distinct calendar positions, null being one."""
 
-    takes_rows = True
+    takes_rows = counts_distinct = True
 
     def build(self, moment: Column, *, rows: Column | None = None) -> Column:
         return n_unique(self.position(moment), rows)

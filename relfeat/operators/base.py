@@ -131,7 +131,11 @@ class Primitive(ABC):
 
 
 class AggregationPrimitive(Primitive):
+    """counts_distinct: build counts distinct values, which Spark does by repeating rows for each column counted; such
+    aggregations get a group-by of their own, so that the others' columns aren't repeated along."""
+
     takes_rows: ClassVar[bool] = False
+    counts_distinct: ClassVar[bool] = False
 
 
 class OrderedAggregationPrimitive(AggregationPrimitive):

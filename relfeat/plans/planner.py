@@ -1,8 +1,8 @@
 """Compilation of feature definitions into one lazy DataFrame.
 
 For each relationship there is one group-by and one join, however many features cross it and whatever conditions they have:
-a condition masks the aggregates' inputs instead of filtering rows (aggregations that can't take a mask get a
-group-by of their own). Transforms are added by levels of depth, one projection each, so that windows of one
+a condition masks the aggregates' inputs instead of filtering rows. Aggregations that can't take a mask get a group-by of
+their own, and so do counts of distinct values, for which Spark repeats rows. Transforms are added by levels of depth, one projection each, so that windows of one
 group share their sort. Inside the plan, computed columns have names of their own; the final projection gives them their
 public ones. Tables that several features reach by different ways are built once.
 """
@@ -181,8 +181,9 @@ class _Planner:
         masks = {c: self._mask(link.child, c) for c in dict.fromkeys(f.condition for f in batch) if c}
         takes_rows = lambda f: isinstance(f.primitive, AggregationPrimitive) and f.primitive.takes_rows
         together = [f for f in batch if f.condition is None or takes_rows(f)]
-        if together:
-            table = self._joined(table, link, child, together, masks)
+        for distinct in (False, True):
+            if some := [f for f in together if getattr(f.primitive, "counts_distinct", False) is distinct]:
+                table = self._joined(table, link, child, some, masks)
         for condition, mask in masks.items():
             if apart := [f for f in batch if f.condition == condition and not takes_rows(f)]:
                 table = self._joined(table, link, child.where(mask), apart, {})
