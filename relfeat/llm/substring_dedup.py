@@ -25,7 +25,7 @@ _REPLY = pa.schema([("chunk", pa.int64()), ("places", pa.binary()), ("documents"
 def _blocks(k: int, fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, part = WordIds(), TaskContext.get().partitionId()
-        for number, batch in enumerate(slices(batches, "text", 8 << 20)):
+        for number, batch in enumerate(slices(batches, "text", 3 << 20)):
             # A task that is run again reads the same rows in the same order, so a chunk keeps its number.
             chunk = (part << 32) + number
             words = [t.split() for t in batch.column("text").to_pylist()]
@@ -112,7 +112,7 @@ def repeated_spans(docs: DataFrame, spark: SparkSession, k: int = 35) -> DataFra
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", 1 << 20):
         n_words, n_removed, kept = [], [], []
         for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             words = text.split()
