@@ -313,11 +313,22 @@ def test_top_k_search(spread):
     x[50:90] = x[50]
     ids = rng.permutation(900)
     ask = np.flatnonzero(ids % 7 == 0)
-    got_ids, scores, found = topk.search(x[ask], ids[ask], x, ids, 10)
-    for q, s, f in zip(got_ids, scores, found, strict=True):
-        row = x[np.flatnonzero(ids == q)[0]]
-        best = sorted((-int(row @ v), i) for v, i in zip(x, ids.tolist(), strict=True) if i != q)[:10]
-        assert [(-int(a), int(b)) for a, b in zip(s, f, strict=True)] == best
+    data, asks = topk.Block(np.arange(900), ids, x.astype(float)), topk.Block(ask, ids[ask], x[ask].astype(float))
+    best = topk.search(asks, data, np.full(len(ask), topk.NONE), 10)
+    for row, scores, found in zip(best.rows, best.scores, best.ids, strict=True):
+        expected = sorted((-int(x[row] @ v), i) for n, (v, i) in enumerate(zip(x, ids.tolist(), strict=True)) if n != row)[:10]
+        assert [(-int(a), int(b)) for a, b in zip(scores, found, strict=True)] == expected
+
+
+@pytest.mark.parametrize("scale", [1, 2**21, 2**28, 2**33, 2**70])
+def test_inner_products_are_exact(scale):
+    rng = np.random.default_rng(9)
+    a, b = (np.floor(rng.normal(0, 1000, (20, 5))) for _ in range(2))
+    a[::3] *= scale
+    b[::2] *= scale
+    size = lambda x: np.sqrt((x**2).sum(1))
+    expected = [[max(-topk.MOST, min(topk.MOST, sum(int(p) * int(q) for p, q in zip(x, y, strict=True)))) for y in b] for x in a]
+    assert topk.inner(a, b, size(a), size(b)).tolist() == expected
 
 
 def test_cover_tree_invariants():
@@ -332,20 +343,41 @@ def test_cover_tree_invariants():
     assert sorted(tree.order) == list(range(1500))
 
 
-def test_top_k_rows(spark):
+@pytest.mark.parametrize("block", [topk.DATA_BLOCK, 16])
+def test_top_k_rows(spark, monkeypatch, block):
+    """Against brute force: rows given twice, two rows of one vec_id, large and odd components, several lengths, small blocks."""
+    monkeypatch.setattr(topk, "DATA_BLOCK", block)
+    monkeypatch.setattr(topk, "_TOGETHER", 2)
     rows = [(i, [math.sin(i * j) / 3 for j in range(1, 5)], i % 3) for i in range(400)]
-    rows += [(500, None, 0), (600, [1.0, None, 0.0, 0.0], 0), (700, [float("nan"), 0.0, 0.0, 0.0], 0), (800, [float("inf")] * 4, 0), (900, [0.5, 0.5], 1), (1000, [0.25, 0.5], 1), (None, [0.1] * 4, 1), rows[7]]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"block": F.lit(1), "ids": F.lit("x")}).repartition(3)
+    rows += [(500, None, 0), (600, [1.0, None, 0.0, 0.0], 0), (700, [float("nan"), 0.0, 0.0, 0.0], 0), (800, [float("inf")] * 4, 0), (900, [0.5, 0.5], 1), (1000, [0.25, 0.5], 1), (None, [0.1] * 4, 1)]
+    rows += [rows[7], rows[200], (100, [0.1, 0.2, 0.3, 0.4], 0), (1100, [3e6, -3e6, 1.0, 0.5], 0), (1101, [-3e6, 3e6, 0.25, 0.1], 0), (1200, [3e6, 0.0, 1e30, -1e30], 0), (1201, [1e30, 3e6, 0.0, 1.0], 0), (1300, [], 0), (1301, [], 0), (1302, [], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({n: F.lit("x") for n in ("block", "ids", "vector", "asks", "row", "cell", "ask", "group", "score")}).repartition(3)
     got = topk.op6_topk_search(spark, frame).collect()
-    vectors = {i: tuple(math.floor(1024 * float(np.float32(c))) for c in v) for i, v, _ in rows if i is not None and v and all(c is not None and math.isfinite(c) for c in v)}
+    vectors = [(i, tuple(math.floor(1024 * float(np.float32(c))) for c in v)) for i, v, _ in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
     expected = []
-    for q in (i for i in vectors if i % 100 == 0):
-        best = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))[:10]
-        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    for n, (q, x) in enumerate(vectors):
+        if q % 100 == 0:
+            score = lambda v: max(-topk.MOST, min(topk.MOST, sum(a * b for a, b in zip(x, v, strict=True))))  # noqa: B023, E731
+            best = sorted((-score(v), i) for m, (i, v) in enumerate(vectors) if m != n and len(v) == len(x))[:10]
+            expected += [(q, place + 1, i, -s) for place, (s, i) in enumerate(best)]
     assert sorted(map(tuple, got)) == sorted(expected)
     assert topk.op6_topk_search(spark, frame.limit(0)).count() == 0
 
 
+def test_top_k_sends_only_blocks_that_can_win(spark, monkeypatch):
+    """Of far clusters, a query block meets but its own and its neighbours."""
+    monkeypatch.setattr(topk, "DATA_BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(3)
+    centres = 40 * np.eye(8)
+    frame = spark.createDataFrame([(i, (centres[i % 8] + rng.normal(0, 0.1, 8)).tolist()) for i in range(2000)], "vec_id long, vector array<double>")
+    monkeypatch.setattr(topk, "materialize", lambda df, spark, keep=topk.materialize: kept.append(keep(df, spark)) or kept[-1])
+    kept = []
+    assert topk.top_k(frame, F.col("vec_id") % 100 == 0, spark).count() == 200
+    data, queries, pairs = (k.count() for k in kept)
+    assert pairs < data * queries / 3
+
+
 # Token files
 
 
