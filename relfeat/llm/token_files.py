@@ -117,6 +117,7 @@ def tokenizer(path: str) -> Tokenizer:
 
 #: Words of Latin-1 letters with closing marks: their pieces are known without the library's normalizer and splitter.
 _CLOSING = ".,;:!?"
+_CLOSING_BYTES = _CLOSING.encode()
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
@@ -142,7 +143,12 @@ class WordEncoder(dict):
         self.letters = _byte_letters()
 
     def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(_CLOSING.encode())
+        value = self[word] = self.spell(word)
+        return value
+
+    def spell(self, word: bytes) -> bytes:
+        """The word's ids, not remembered."""
+        core = word.rstrip(_CLOSING_BYTES)
         if core.isalpha():  # ASCII letters only
             value = self.piece(core.lower())
         elif core and _LETTERS.fullmatch(text := core.decode()):
@@ -151,7 +157,6 @@ class WordEncoder(dict):
             core, value = word, self.whole(word.decode())
         if len(core) < len(word):
             value += self.piece(word[len(core) :])
-        self[word] = value
         return value
 
     def piece(self, text: bytes) -> bytes:
