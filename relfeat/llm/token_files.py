@@ -161,7 +161,9 @@ class WordEncoder(dict):
 
     def piece(self, text: bytes) -> bytes:
         if (value := self.pieces.get(text)) is None:
-            spelled = text.decode("latin-1").translate(self.letters)
+            spelled = text.decode("latin-1")
+            if not text.isalnum():
+                spelled = spelled.translate(self.letters)
             value = self.pieces[text] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return value
 

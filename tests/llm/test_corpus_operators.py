@@ -304,8 +304,7 @@ def _probabilities(model, last, before, at):
     soft = lambda z: np.exp(z) / np.exp(z).sum(-1, keepdims=True)
     member = soft(np.einsum("h,chm->cm", h, w["member"]) + w["member_bias"])
     place = (soft(h @ w["class"] + w["class_bias"])[:, None] * member).ravel()
-    place[model.seen] /= len(model.place) - model.seen
-    return place[model.place]
+    return place[model.place] * np.exp(model.share)
 
 
 def test_attention_learns_and_is_a_distribution(tiny_model):
@@ -319,7 +318,7 @@ def test_attention_learns_and_is_a_distribution(tiny_model):
     # Each id is scored once, by the window that holds it and CONTEXT ids or more before it, whatever else is in the batch.
     step, at = attention.WINDOW - attention.CONTEXT, 0
     for ids in texts[:20]:
-        before = [trained.seen + 1, trained.seen + 1, *trained.place[ids].tolist()]
+        before = [trained.outside, trained.outside, *trained.place[ids].tolist()]
         for i in range(len(ids)):
             start = 0 if i < attention.WINDOW else (i - attention.CONTEXT) // step * step
             p = _probabilities(trained, np.array(before[start + 1 : i + 2]), np.array(before[start : i + 1]), i - start)
