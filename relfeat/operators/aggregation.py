@@ -253,11 +253,16 @@ class NUnique(AggregationPrimitive):
     """Distinct values, null being one."""
 
     name, input_dtypes, output_dtype, default_value, stack_on_self, takes_rows = "n_unique", (D.ANY,), LONG, 0, False, True
-    counts_distinct = True
 
     def build(self, column: Column, *, rows: Column | None = None) -> Column:
         return n_unique(column, rows)
 
+    def distinct(self, column: Column) -> Column:
+        return column
+
+    def from_distinct(self, n: Column, rows: Column) -> Column:
+        return n
+
 
 def _n(rows: Column | None) -> Column:
     return F.count("*") if rows is None else F.count_if(rows)
@@ -269,11 +274,16 @@ class IsUnique(AggregationPrimitive):
     """Whether no value repeats, null being one."""
 
     name, input_dtypes, output_dtype, takes_rows = "is_unique", (D.ANY,), BOOLEAN, True
-    counts_distinct = True
 
     def build(self, column: Column, *, rows: Column | None = None) -> Column:
         return n_unique(column, rows) == _n(rows)
 
+    def distinct(self, column: Column) -> Column:
+        return column
+
+    def from_distinct(self, n: Column, rows: Column) -> Column:
+        return n == rows
+
 
 @register
 @dataclass(frozen=True)
@@ -281,23 +291,31 @@ class PercentUnique(AggregationPrimitive):
     """Distinct values, null being one, as a share of the rows."""
 
     name, input_dtypes, output_dtype, takes_rows = "percent_unique", (D.ANY,), DOUBLE, True
-    counts_distinct = True
 
     def build(self, column: Column, *, rows: Column | None = None) -> Column:
         return n_unique(column, rows) / F.nullif(_n(rows), F.lit(0))
 
+    def distinct(self, column: Column) -> Column:
+        return column
+
+    def from_distinct(self, n: Column, rows: Column) -> Column:
+        return n / rows
+
 
 class _NUniqueOf(AggregationPrimitive):
     """Distinct calendar positions, null being one."""
 
-    takes_rows = counts_distinct = True
+    takes_rows = True
 
     def build(self, moment: Column, *, rows: Column | None = None) -> Column:
-        return n_unique(self.position(moment), rows)
+        return n_unique(self.distinct(moment), rows)
 
-    def position(self, moment: Column) -> Column:
+    def distinct(self, moment: Column) -> Column:
         raise NotImplementedError
 
+    def from_distinct(self, n: Column, rows: Column) -> Column:
+        return n
+
 
 @register
 @dataclass(frozen=True)
@@ -306,7 +324,7 @@ class NUniqueDays(_NUniqueOf):
 
     name, input_dtypes, output_dtype, default_value = "n_unique_days", (D.HAS_DATE,), LONG, 0
 
-    def position(self, moment: Column) -> Column:
+    def distinct(self, moment: Column) -> Column:
         return F.to_date(moment)
 
 
@@ -317,7 +335,7 @@ class NUniqueDaysOfCalendarYear(_NUniqueOf):
 
     name, input_dtypes, output_dtype, default_value = "n_unique_days_of_calendar_year", (D.HAS_DATE,), LONG, 0
 
-    def position(self, moment: Column) -> Column:
+    def distinct(self, moment: Column) -> Column:
         return F.month(moment) * 100 + F.dayofmonth(moment)
 
 
@@ -328,7 +346,7 @@ class NUniqueDaysOfMonth(_NUniqueOf):
 
     name, input_dtypes, output_dtype, default_value = "n_unique_days_of_month", (D.HAS_DATE,), LONG, 0
 
-    def position(self, moment: Column) -> Column:
+    def distinct(self, moment: Column) -> Column:
         return F.dayofmonth(moment)
 
 
@@ -339,7 +357,7 @@ class NUniqueMonths(_NUniqueOf):
 
     name, input_dtypes, output_dtype, default_value = "n_unique_months", (D.HAS_DATE,), LONG, 0
 
-    def position(self, moment: Column) -> Column:
+    def distinct(self, moment: Column) -> Column:
         return F.year(moment) * 12 + F.month(moment)
 
 

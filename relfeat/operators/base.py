@@ -95,9 +95,9 @@ class Primitive(ABC):
             return (tuple(shapes),)
         for shape in shapes:
             if not (isinstance(shape, tuple) and shape and all(isinstance(s, DtypeFamily) for s in shape)):
-                raise PrimitiveError(f"primitive {self.name!r}: input_dtypes={shapes!r} mixes shapes; give DtypeFamily members, or non-empty tuples of them")
+                raise PrimitiveError(f"{self.name!r} declares input_dtypes={shapes!r}: a signature is DtypeFamily members, several signatures are tuples of them, none empty")
         if len({len(shape) for shape in shapes}) > 1:
-            raise PrimitiveError(f"primitive {self.name!r}: its input shapes must all have the same number of inputs, as build() has one parameter list")
+            raise PrimitiveError(f"{self.name!r} declares signatures of unlike lengths; build() takes the same number of inputs whichever fits")
         return tuple(shapes)
 
     def return_dtype(self, input_dtypes: Sequence[Any]) -> Any:
@@ -131,11 +131,11 @@ class Primitive(ABC):
 
 
 class AggregationPrimitive(Primitive):
-    """counts_distinct: build counts distinct values, which Spark does by repeating rows for each column counted; such
-    aggregations get a group-by of their own, so that the others' columns aren't repeated along."""
+    """One that only needs to know how many distinct values there are, and in how many rows, can say so: distinct(column) gives
+    what is counted (null being a value), from_distinct(n, rows) the result. The distinct values of all such aggregations of a
+    relationship are then counted together, as narrow rows (which column, hash of the value), in place of count(DISTINCT)."""
 
     takes_rows: ClassVar[bool] = False
-    counts_distinct: ClassVar[bool] = False
 
 
 class OrderedAggregationPrimitive(AggregationPrimitive):
