@@ -245,6 +245,48 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
         return relfeat.deep_feature_synthesis(database(spark, sf), "customer", max_depth=2, cutoff_time=CUTOFF)[0]
 
 
+#: Columns of the flagship's matrix, one of each way that features cross tables in it, with their SQL over the tables below.
+_FLAGSHIP = {
+    "c_custkey": "c.c_custkey",
+    "c_acctbal": _R.format("c.c_acctbal"),
+    "nation__n_name": "n.n_name",
+    "nation__region__r_name": "r.r_name",
+    "nation__COUNT__supplier": _I.format("coalesce(s.n, 0)"),
+    "COUNT__orders": _I.format("coalesce(o.n, 0)"),
+    "SUM__orders__o_totalprice": _R.format("coalesce(o.total, 0)"),
+    "STD__orders__o_totalprice": _R.format("o.std"),
+    "N_UNIQUE__orders__o_orderpriority": _I.format("coalesce(o.priorities, 0)"),
+    "N_UNIQUE__orders__changed": _I.format("coalesce(o.changes, 0)"),
+    "MODE__orders__o_orderstatus": "o.status",
+    "COUNT__orders__WHERE__large": _I.format("coalesce(o.large, 0)"),
+    "SUM__orders__o_totalprice__WHERE__large": _R.format("coalesce(o.large_total, 0)"),
+    "COUNT__orders__WHEN__recent": _I.format("coalesce(o.recent, 0)"),
+    "MAX__orders__COUNT__lineitem": _I.format("o.most_lines"),
+    "MEAN__orders__SUM__lineitem__l_extendedprice": _R.format("o.mean_sum"),
+    "SUM__orders__N_UNIQUE__lineitem__l_returnflag": _I.format("coalesce(o.flags, 0)"),
+    "COUNT__events": _I.format("0"),
+    "SUM__events__value": _R.format("0"),
+}
+_FLAGSHIP_SQL = f"""
+WITH {_ORD}, line AS (
+  SELECT l_orderkey, count(*) AS n, sum(l_extendedprice) AS price, count(DISTINCT l_returnflag) AS flags FROM lineitem WHERE l_shipdate <= DATE '1998-01-01' GROUP BY l_orderkey
+), seen AS (
+  SELECT o_custkey, o_totalprice, o_orderpriority, o_orderdate,
+         CASE WHEN changed > TIMESTAMP '1998-01-01' THEN 'P' ELSE o_orderstatus END AS status, CASE WHEN changed > TIMESTAMP '1998-01-01' THEN NULL ELSE changed END AS changed,
+         coalesce(line.n, 0) AS lines, coalesce(line.price, 0) AS price, coalesce(line.flags, 0) AS flags
+  FROM ord LEFT JOIN line ON l_orderkey = o_orderkey WHERE o_orderdate <= TIMESTAMP '1998-01-01'
+), o AS (
+  SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total, stddev_samp(o_totalprice) AS std, count(DISTINCT o_orderpriority) AS priorities,
+         {_DISTINCT.format("changed")} AS changes, count_if(o_totalprice >= 200000) AS large, sum(CASE WHEN o_totalprice >= 200000 THEN o_totalprice END) AS large_total,
+         count_if(o_orderdate > TIMESTAMP '1998-01-01' - INTERVAL '365' DAY) AS recent, max(lines) AS most_lines, avg(price) AS mean_sum, sum(flags) AS flags,
+         (SELECT x.status FROM seen x WHERE x.o_custkey = seen.o_custkey GROUP BY x.status ORDER BY count(*) DESC, x.status LIMIT 1) AS status
+  FROM seen GROUP BY o_custkey
+), s AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey)
+SELECT {", ".join(f'{sql} AS "{name}"' for name, sql in _FLAGSHIP.items())}
+FROM customer c LEFT JOIN nation n ON c_nationkey = n_nationkey LEFT JOIN region r ON n_regionkey = r_regionkey LEFT JOIN s ON s_nationkey = n_nationkey LEFT JOIN o ON o.o_custkey = c.c_custkey
+"""
+
+
 def _text_table(spark: SparkSession, sf: str, table: str, key: str) -> relfeat.Database:
     return relfeat.Database("texts").add_table(table, _table(spark, sf, table), key)
 
@@ -315,7 +357,7 @@ FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON l_pa
 
 def all_queries() -> dict[str, tuple[Query, str | None]]:
     """Every query by name, with its SQL."""
-    out: dict[str, tuple[Query, str | None]] = {"dfs_customer_depth2": (flagship, None)}
+    out: dict[str, tuple[Query, str | None]] = {"dfs_customer_depth2": (flagship, None), "dfs_customer_depth2_columns": (lambda s, d: plain(flagship(s, d), list(_FLAGSHIP)), _FLAGSHIP_SQL)}
     for primitive, name, value, default in _AGGREGATIONS:
         keep = "ts <= TIMESTAMP '2024-01-15'" if issubclass(type(P.resolve(primitive)), P.NeedsCutoffTime) else "true"
         cutoff = EVENT_CUTOFF if keep != "true" else None
