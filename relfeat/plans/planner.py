@@ -24,15 +24,13 @@ from relfeat.functions import instant, named, truth
 from relfeat.operators.base import AggregationPrimitive, Group, GroupRelativeAggregationPrimitive, GroupTransformPrimitive, NeedsCutoffTime, OrderedAggregationPrimitive, OrderedTransformPrimitive, Primitive, ValueCountAggregationPrimitive
 from relfeat.plans.features import Feature, Kind
 from relfeat.sources.checks import time_zone_awareness
-from relfeat.sources.schema import Relationship
+from relfeat.sources.schema import RESERVED, Relationship
 from relfeat.types import metadata
 
 if TYPE_CHECKING:
     from relfeat.plans.features import FeatureList
     from relfeat.sources.database import Database
 
-#: Starts the names of columns that exist inside a plan only.
-RESERVED = "__rf_"
 _NARROW = (T.ByteType, T.ShortType, T.IntegerType)
 
 

@@ -172,3 +172,9 @@ def test_one_to_one_edge(spark):
     a, b = (spark.createDataFrame([(1,)], "id long") for _ in range(2))
     db = relfeat.Database("x").add_table("a", a, "id").add_table("b", b, "id").add_relationship("a", "b", "id")
     assert '"a" 1 to zero or one "b" : ""' in db.plot().source
+
+
+def test_reserved_names_are_refused(spark):
+    frame = spark.createDataFrame([(1, 2.0)], "id long, __rf_1 double")
+    with pytest.raises(errors.SchemaError, match="reserved"):
+        relfeat.Database("x").add_table("t", frame, "id")
