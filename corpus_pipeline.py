@@ -17,9 +17,9 @@ from relfeat.llm.token_files import op7_token_files
 from relfeat.llm.toxicity import held_out, reject_toxic, train
 
 
-def _row(docs: DataFrame) -> DataFrame:
-    """docs with names for its rows that no column of docs has."""
-    return docs.withColumns({"__doc": F.col("doc_id"), "__row": F.xxhash64(F.coalesce("text", F.lit("")))})
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc, key, row): each row of docs as one column, whatever names its columns have; its doc_id and its text's hash."""
+    return docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,26 +31,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links join, the one with the least doc_id stays. Documents without words all stay."""
     alike = similar_documents(docs, spark)
-    gone = alike.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("g_doc")).distinct()
-    rows = _row(docs)
-    return rows.join(gone, rows["__doc"].eqNullSafe(gone["g_doc"]), "left_anti").drop("__doc", "__row")
+    gone = alike.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
+    rows = _keyed(docs)
+    return rows.join(gone, rows["key"].eqNullSafe(gone["gone"]), "left_anti").select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages cover a twentieth or more go."""
     hits = benchmark_hits(docs, table(spark, sf_dir, "benchmark"), spark)
-    gone = hits.where(contaminated()).select(F.col("doc_id").alias("g_doc"), F.col("row").alias("g_row")).distinct()
-    rows = _row(docs)
-    return rows.join(gone, rows["__doc"].eqNullSafe(gone["g_doc"]) & (rows["__row"] == gone["g_row"]), "left_anti").drop("__doc", "__row")
+    gone = hits.where(contaminated()).select(F.col("doc_id").alias("gone"), F.col("row").alias("gone_row")).distinct()
+    rows = _keyed(docs)
+    return rows.join(gone, rows["key"].eqNullSafe(gone["gone"]) & (rows["row"] == gone["gone_row"]), "left_anti").select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes their words: taken / size, rounded, so 0 to 2 times. Without words: once."""
-    plan = mix_sources(docs, spark).groupBy(F.col("doc_id").alias("m_doc"), F.col("row").alias("m_row")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    plan = plan.select("m_doc", "m_row", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int").alias("times"))
-    rows = _row(docs)
-    met = rows.join(plan.hint("shuffle_hash"), rows["__doc"].eqNullSafe(plan["m_doc"]) & (rows["__row"] == plan["m_row"]))
-    return met.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select(*(f"`{c}`" for c in docs.columns))
+    """Documents as often as the mix takes their words: taken / size, 0 to 2 times. Without words: once.
+
+    A share of a copy becomes a whole one or none by the document's hash, with that share as its chance, so that a source's
+    words come near its target whichever parts of documents the schedule took.
+    """
+    plan = mix_sources(docs, spark).groupBy(F.col("doc_id").alias("mixed"), F.col("row").alias("mixed_row")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    chance = F.pmod(F.xxhash64(F.lit("mix"), "mixed", "mixed_row"), F.lit(1 << 30)) / float(1 << 30)
+    plan = plan.select("mixed", "mixed_row", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + chance)).otherwise(1).cast("int").alias("times"))
+    rows = _keyed(docs)
+    met = rows.join(plan.hint("shuffle_hash"), rows["key"].eqNullSafe(plan["mixed"]) & (rows["row"] == plan["mixed_row"]))
+    return met.select("doc", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("doc.*")
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
