@@ -3,7 +3,9 @@
 Slot i of the schedule belongs to the source in whose part of the cumulative targets the golden-ratio point frac(i * phi) falls,
 so that every stretch of the schedule holds the sources in their proportions. Slots are ranked per source; the source's
 documents, shuffled by a hash and laid end to end, are cut into blocks of equally many words, and the slot of rank r takes
-block r. The stream is laid out twice, so a source gives each word at most twice.
+block r. The stream is laid out twice, so a source gives each word at most twice. A source that is small has shorter blocks, so
+that its target is some hundreds of them or single words; each source takes as many blocks as its target has, and those few that
+the schedule's rounding leaves without a slot come at its end.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from relfeat.llm.common import materialize, partitions, slices, text_bytes
 PHI, PHI_20 = (math.sqrt(5) - 1) / 2, math.fmod(2**20 * ((math.sqrt(5) - 1) / 2), 1)
 #: Slots whose ranks one step counts together.
 _CHUNK = 1 << 16
-#: Slots of a schedule at most; beyond, blocks get longer.
-MOST_SLOTS = 1 << 26
+#: Words of a block, and blocks that a source's target has at least (down to blocks of one word).
+BLOCK, LEAST_BLOCKS = 256, 512
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +77,8 @@ def schedule(spark: SparkSession, slots: int, ends: Sequence[float]) -> DataFram
 
 def plan_mix(docs: DataFrame, spark: SparkSession, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """The pieces of the mix and the documents without one: doc_id, row (the text's hash), source, size, source_size, target,
-    bucket and nth (which name a row within its source), start (the document's place in its source's stream), slot (order in the mix, null without a piece), words (of the piece).
+    bucket and nth (which name a row within its source), start (the document's place in its source's stream), slot (order in
+    the mix, null without a piece), words (of the piece).
 
     Sources in code point order, null last, weigh `weights` in turn. A document's size is its number of words parted by ASCII
     white space; null and empty texts have none. Rows of one doc_id are documents of their own. Other columns are not carried.
@@ -88,11 +91,11 @@ def plan_mix(docs: DataFrame, spark: SparkSession, weights: Sequence[float] = (3
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["source_size"] for r in found]
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, most)
-    total = sum(goals)
-    # Blocks short enough that the smallest source has some hundreds, but MOST_SLOTS in all at most.
-    least = min((g for g in goals if g > 0), default=0.0)
-    block = max(16, math.ceil(total / MOST_SLOTS), int(least // 512))
-    names = spark.createDataFrame([(r["source"], i, z, g) for i, (r, z, g) in enumerate(zip(found, sizes, goals, strict=True))], "name string, s int, source_size long, target double")
+    blocks = [max(1, min(BLOCK, int(g // LEAST_BLOCKS))) for g in goals]
+    slots = [round(g / b) for g, b in zip(goals, blocks, strict=True)]
+    ends = np.cumsum(slots).tolist()
+    total = sum(slots)
+    names = spark.createDataFrame([(r["source"], i, z, g, b, n, e - n) for i, (r, z, g, b, n, e) in enumerate(zip(found, sizes, goals, blocks, slots, ends, strict=True))], "name string, s int, source_size long, target double, block long, slots long, slots_before long")
     rows = rows.join(names, rows["source"].eqNullSafe(names["name"])).drop("name")
 
     # Places in the shuffled stream: sums within buckets of about sqrt(n) documents, then over a source's buckets.
@@ -106,16 +109,16 @@ def plan_mix(docs: DataFrame, spark: SparkSession, weights: Sequence[float] = (3
     sums = sums.select("s", "bucket", F.coalesce(F.sum("sum").over(over), F.lit(0).cast("long")).alias("before"))
     rows = rows.join(sums, ["s", "bucket"]).withColumn("start", F.col("before") + F.col("within")).drop("key", "before", "within")
     if not total:
-        return rows.drop("s").withColumns({"slot": F.lit(None).cast("long"), "words": F.lit(0).cast("long")})
+        return rows.drop("s", "block", "slots", "slots_before").withColumns({"slot": F.lit(None).cast("long"), "words": F.lit(0).cast("long")})
 
-    first = lambda lo: F.expr(f"({lo}) div {block}L")
+    first = lambda lo: F.expr(f"({lo}) div block")
     rows = rows.withColumn("lap", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("lo", F.col("start") + F.col("lap") * F.col("source_size"))
     pieces = rows.withColumn("rank", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first("lo"), first("lo + size - 1")))))
-    words = F.least(F.col("lo") + F.col("size"), (F.col("rank") + 1) * block) - F.greatest("lo", F.col("rank") * block)
-    pieces = pieces.withColumn("words", F.coalesce(words, F.lit(0).cast("long")))
-    slots = schedule(spark, math.ceil(total / block), np.cumsum(goals).tolist())
-    met = pieces.join(slots, ["s", "rank"], "left")
-    return met.select("doc_id", "row", "source", "size", "source_size", "target", "bucket", "nth", "start", "slot", F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0).alias("words"))
+    low, high = F.col("rank") * F.col("block"), (F.col("rank") + 1) * F.col("block")
+    pieces = pieces.withColumn("words", F.when(F.col("rank") < F.col("slots"), F.least(F.col("lo") + F.col("size"), high) - F.greatest("lo", low)).otherwise(0).cast("long"))
+    met = pieces.join(schedule(spark, total, ends), ["s", "rank"], "left")
+    order = F.when(F.col("rank") < F.col("slots"), F.coalesce("slot", F.lit(total) + F.col("slots_before") + F.col("rank")))
+    return met.select("doc_id", "row", "source", "size", "source_size", "target", "bucket", "nth", "start", order.alias("slot"), "words")
 
 
 def mix_sources(docs: DataFrame, spark: SparkSession, **options: object) -> DataFrame:

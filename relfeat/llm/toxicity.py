@@ -287,7 +287,9 @@ def reject_toxic(docs: DataFrame, model: ToxicityModel, spark: SparkSession, thr
             yield batch.filter(pa.array(np.concatenate([*scores, np.zeros(0)]) < threshold))
         spread.value.lexicon.forget()
 
-    return docs.mapInArrow(run, docs.schema)
+    # Names with dots would not be found by mapInArrow.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def op3_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

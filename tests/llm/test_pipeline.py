@@ -5,11 +5,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from samples import SCHEMA, prose
 
 import corpus_pipeline
-from relfeat.llm import toxicity
-
+from relfeat.llm import mixing, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +54,26 @@ def test_stages(spark, folder):
     assert {400, 401} <= set(seen["mixing"])
 
 
+def test_columns_of_any_name_pass(spark, folder):
+    """Names that stages use themselves stay columns of the documents, with their values."""
+    path, _ = folder
+    names = ("times", "m_doc", "m_row", "__doc", "__row", "__copy", "doc", "key", "row", "gone", "gone_row", "mixed", "mixed_row", "col", "g_doc", "a.b", "size", "slot")
+    frame = spark.read.parquet(f"{path}/documents.parquet").limit(60)
+    frame = frame.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names}).cache()
+    given = {tuple(r) for r in frame.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, path)
+        assert out.columns == frame.columns and (rows := out.collect()) and {tuple(r) for r in rows} <= given, name
+
+
+def test_the_mix_comes_near_its_targets(spark):
+    rows = [(i, "w " * (5 + i * 37 % 400), ["a", "b", "c"][i % 3 if i % 5 else 0]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    goals = {r["source"]: r["target"] for r in mixing.mix_sources(docs, spark).select("source", "target").distinct().collect()}
+    got = corpus_pipeline.mix(spark, docs, "").groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()
+    assert len(got) == 3 and all(r["n"] == pytest.approx(goals[r["source"]], rel=0.03) for r in got)
+
+
 def test_run_is_the_stages_in_turn(spark, folder):
     path, _ = folder
     got = corpus_pipeline.run(spark, path)
