@@ -21,8 +21,8 @@ from relfeat.llm.common import materialize, slices, text_bytes
 
 #: Labelled rows that the model learns from at most: those with the least hash of their doc_id.
 MOST_LABELLED = 20_000
-#: Entries of the lexicon at most, and candidates that are counted for it.
-MOST_ENTRIES, MOST_CANDIDATES = 2_000, 50_000
+#: Parts of the labelled rows, each scored for calibration by a lexicon and trees that haven't seen it.
+FOLDS = 3
 #: Toxic documents that an entry is in at least, and how many times likelier it is there (as a natural logarithm).
 LEAST_DOCUMENTS, STRONG, WEAK = 4, 2.5, 1.2
 #: Lengths of the beginnings of words that can be entries.
@@ -52,6 +52,15 @@ def _obfuscated(word: bytes) -> bool:
     return core.isascii() and not core.isalnum() and bool(set(core) & set(b"@$!|*")) and any(65 <= c <= 122 for c in core) or (core.isalnum() and core[:1].isalpha() and not core.isalpha() and not core[-1:].isdigit())
 
 
+#: Signs of a byte: capital, exclamation mark, punctuation, digit, beyond "@".
+_CAPITAL, _EXCLAIMED, _PUNCTUATION, _DIGIT = 1, 2, 4, 8
+_SIGNS = np.zeros(256, np.uint8)
+_SIGNS[65:91] |= _CAPITAL
+_SIGNS[33] |= _EXCLAIMED
+_SIGNS[[33, 34, 39, 44, 46, 58, 59, 63]] |= _PUNCTUATION
+_SIGNS[48:58] |= _DIGIT
+
+
 @dataclass
 class Lexicon:
     """Entries and their weights, and the rates of texts by them."""
@@ -68,33 +77,54 @@ class Lexicon:
         return self.profiles.setdefault(key, len(self.profiles))
 
     def features(self, texts: list[bytes]) -> np.ndarray:
+        """A row of FEATURES for each text. Words are looked up once a kind; all else is counted for all texts together."""
         out = np.zeros((len(texts), len(FEATURES)))
+        split = [t.split() for t in texts]
+        n = np.fromiter(map(len, split), np.int64, len(texts))
+        words = [w for ws in split for w in ws]
         memo = self.memo
-        for row, text in zip(out, texts, strict=True):
-            words = text.split()
-            codes = np.empty(len(words), np.int64)
-            for i, w in enumerate(words):
-                code = memo.get(w)
-                if code is None:
-                    code = memo[w] = self.profile(w)
-                codes[i] = code
-            table = np.array([(w, w >= STRONG, WEAK <= w < STRONG, *rest) for w, *rest in self.profiles], float).reshape(-1, 7)
-            n, kinds = max(1, len(words)), np.bincount(codes, minlength=len(table))
-            sums = kinds @ table if len(table) else np.zeros(7)
-            hits = np.flatnonzero(table[codes, 1]) if len(words) else codes
-            near = 0
-            if len(hits) and sums[3]:
-                second = np.flatnonzero(table[codes, 3])
-                at = np.searchsorted(second, hits)
-                gap = np.minimum(np.abs(hits - second[np.minimum(at, len(second) - 1)]), np.abs(hits - second[np.maximum(at - 1, 0)]))
-                near = int((gap <= NEAR).sum())
-            chars = np.frombuffer(text, np.uint8)
-            size, of = max(1, len(chars)), np.bincount(chars, minlength=256)
-            stretched = int(((chars[2:] == chars[1:-1]) & (chars[1:-1] == chars[:-2]) & (chars[2:] > 64)).sum()) if len(chars) > 2 else 0
-            heaviest = float(table[kinds > 0, 0].max()) if len(words) else 0.0
-            row[:] = (sums[1] / n, sums[2] / n, sums[0] / n, heaviest, ((kinds > 0) & (table[:, 1] > 0)).sum() if len(words) else 0, math.log1p(sums[1]), sums[3] / n, near / n, sums[4] / n, of[65:91].sum() / size, of[33] / size, of[[33, 34, 39, 44, 46, 58, 59, 63]].sum() / size, sums[5] / n, of[48:58].sum() / size, math.log1p(len(words)), stretched / size)
+        for w in dict.fromkeys(words):
+            if w not in memo:
+                memo[w] = self.profile(w)
+        codes = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
         if len(memo) > _MEMO:
             memo.clear()
+        owner = np.repeat(np.arange(len(texts)), n)
+        # weight, strong, weak, second, shouted, obfuscated
+        table = np.array([(w, w >= STRONG, WEAK <= w < STRONG, *rest[:3]) for w, *rest in self.profiles], float).reshape(-1, 6)
+        sums = np.stack([np.bincount(owner, column[codes], len(texts)) for column in table.T], 1)
+        strong, second = np.flatnonzero(table[codes, 1]), np.flatnonzero(table[codes, 3])
+        kinds = np.unique(owner[strong] * max(1, len(table)) + codes[strong]) // max(1, len(table))
+        heaviest = np.zeros(len(texts))
+        np.maximum.at(heaviest, owner, table[codes, 0])
+        # Texts stand too far apart for a word to be near another text's.
+        places = np.arange(len(words)) + owner * (2 * NEAR)
+        near = np.zeros(len(strong), bool)
+        if len(second):
+            at = np.searchsorted(second, strong)
+            for neighbour in (second[np.minimum(at, len(second) - 1)], second[np.maximum(at - 1, 0)]):
+                near |= (np.abs(places[strong] - places[neighbour]) <= NEAR) & (owner[strong] == owner[neighbour])
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        ends, signs = np.cumsum(sizes), _SIGNS[data]
+
+        def per_byte(flags: np.ndarray) -> np.ndarray:
+            counts = np.zeros(len(texts))
+            full = np.flatnonzero(sizes)
+            if len(full):
+                counts[full] = np.add.reduceat(flags, (ends - sizes)[full], dtype=np.int64)
+            return counts / np.maximum(sizes, 1)
+
+        stretched = np.zeros(len(data), bool)
+        if len(data) > 2:
+            stretched[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (data[2:] > 64)
+            first = (ends - sizes)[sizes > 0]
+            stretched[first] = False  # a run that starts in the text before
+            stretched[np.minimum(first + 1, len(data) - 1)[sizes[sizes > 0] > 1]] = False
+        rate = 1 / np.maximum(n, 1)
+        columns = (sums[:, 1] * rate, sums[:, 2] * rate, sums[:, 0] * rate, heaviest, np.bincount(kinds, minlength=len(texts)), np.log1p(sums[:, 1]), sums[:, 3] * rate, np.bincount(owner[strong], near, len(texts)) * rate, sums[:, 4] * rate, per_byte(signs & _CAPITAL > 0), per_byte(signs & _EXCLAIMED > 0), per_byte(signs & _PUNCTUATION > 0), sums[:, 5] * rate, per_byte(signs & _DIGIT > 0), np.log1p(n), per_byte(stretched))
+        for i, column in enumerate(columns):
+            out[:, i] = column
         return out
 
     def __getstate__(self) -> dict:
@@ -195,13 +225,13 @@ def held_out(name: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
 
 
 def _count_units(known: frozenset | None):
-    """Rows (unit, toxic, clean): in how many documents each unit is; only units of `known`, or only toxic documents' if None."""
+    """Rows (unit, fold, toxic, clean): in how many documents each unit is; only units of `known`, or only toxic documents' if None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of: dict[bytes, tuple[bytes, ...]] = {}
         for batch in slices(batches, "text"):
-            counts = Counter(), Counter()
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            counts: dict[tuple[int, int], Counter] = {}
+            for text, toxic, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
                 if known is None and not toxic:
                     continue
                 seen: set[bytes] = set()
@@ -210,56 +240,68 @@ def _count_units(known: frozenset | None):
                         found = units(word)
                         found = of[word] = found if known is None else tuple(u for u in found if u in known)
                     seen.update(found)
-                counts[not toxic].update(seen)
+                counts.setdefault((fold, toxic), Counter()).update(seen)
                 if len(of) > _UNITS:
                     of.clear()
-            both = list(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(both, pa.binary()), *(pa.array([c[u] for u in both], pa.int64()) for c in counts)], ["unit", "toxic", "clean"])
+            for (fold, toxic), units_in in counts.items():
+                times, none = pa.array(list(units_in.values()), pa.int64()), pa.array(np.zeros(len(units_in), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(list(units_in), pa.binary()), pa.array(np.full(len(units_in), fold, np.int32)), times if toxic else none, none if toxic else times], ["unit", "fold", "toxic", "clean"])
 
     return run
 
 
+def lexicon(counts: list[tuple[bytes, int, int]], n_toxic: int, n_clean: int) -> Lexicon:
+    """The units (unit, toxic documents, other documents) that stand in LEAST_DOCUMENTS toxic documents and are likelier there."""
+    odds = {u: math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1)) for u, t, c in counts if t >= LEAST_DOCUMENTS}
+    return Lexicon({u: round(o, 1) for u, o in odds.items() if o >= WEAK})
+
+
 def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, label: str = "toxic") -> ToxicityModel:
     """Learn from the labelled documents (doc_id, text) and (doc_id, label 0/1), MOST_LABELLED at most.
 
-    Null labels and documents without text don't count; labels that repeat count once, the largest. Without documents of both
-    labels, the model gives every text their share of label 1 (smoothed). Texts stay on the executors; the driver gets the
-    lexicon's counts and the features of the rows it learns from.
+    Null labels and documents without text don't count; labels that repeat count once, the largest, and so do documents that
+    repeat a doc_id: the text with the least hash. Without documents of both labels, the model gives every text their share of
+    label 1 (smoothed). Calibration: each of FOLDS parts is scored by a lexicon and trees that its labels had no part in. Texts
+    stay on the executors; the driver gets the lexicon's counts and the features of the rows it learns from, all bounded by
+    MOST_LABELLED.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     # The limit bounds what is broadcast: some hundred KB.
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", text_bytes(), "toxic")
-    rows = materialize(rows, spark)
-    by = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n_toxic, n_clean = by.get(1, 0), by.get(0, 0)
-    prior = (n_toxic + 1) / (n_toxic + n_clean + 2)
-    if not n_toxic or not n_clean:
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = materialize(rows.select("doc_id", text_bytes(), "toxic", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), spark)
+    n = {(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    size = lambda toxic, without=None: sum(v for (f, t), v in n.items() if t == toxic and f != without)
+    prior = (size(1) + 1) / (size(1) + size(0) + 2)
+    if not size(1) or not size(0):
         return ToxicityModel(Lexicon({}), None, None, prior)
-    schema = "unit binary, toxic long, clean long"
-    total = lambda frame: frame.groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    often = total(rows.mapInArrow(_count_units(None), schema)).where(F.col("toxic") >= LEAST_DOCUMENTS).orderBy(F.desc("toxic"), "unit").limit(MOST_CANDIDATES)
+    schema = "unit binary, fold int, toxic long, clean long"
+    often = rows.mapInArrow(_count_units(None), schema).groupBy("unit").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") >= LEAST_DOCUMENTS)
     candidates = frozenset(bytes(r["unit"]) for r in often.select("unit").collect())
-    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    scored = total(rows.mapInArrow(_count_units(candidates), schema)).withColumn("odds", odds).where(F.col("odds") >= WEAK)
-    best = scored.orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "unit").limit(MOST_ENTRIES).collect()
-    lexicon = Lexicon({bytes(r["unit"]): round(r["odds"], 1) for r in best})
-    spread = spark.sparkContext.broadcast(lexicon)
+    counted = rows.mapInArrow(_count_units(candidates), schema).groupBy("unit").agg(*(F.sum(F.when((F.col("fold") != f) if f < FOLDS else F.lit(True), F.col(c))).alias(f"{c}{f}") for f in range(FOLDS + 1) for c in ("toxic", "clean")))
+    strong = counted.where(F.greatest(*(F.log((F.coalesce(F.col(f"toxic{f}"), F.lit(0)) + 0.5) / (size(1, f) + 1)) - F.log((F.coalesce(F.col(f"clean{f}"), F.lit(0)) + 0.5) / (size(0, f) + 1)) for f in range(FOLDS + 1))) >= WEAK)
+    got = sorted(strong.collect())
+    # The last is learned from all rows, each other from all but one fold.
+    lexicons = [lexicon([(bytes(r["unit"]), r[f"toxic{f}"] or 0, r[f"clean{f}"] or 0) for r in got], size(1, f), size(0, f)) for f in range(FOLDS + 1)]
+    spread = spark.sparkContext.broadcast(lexicons)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            x = spread.value.features(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array(c) for c in x.T)], ["doc_id", "toxic", *FEATURES])
-        spread.value.forget()
-
-    got = rows.mapInArrow(run, "doc_id long, toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas().sort_values(["doc_id", *FEATURES])
-    x, y = got[list(FEATURES)].to_numpy(float), got["toxic"].to_numpy(float)
-    # Calibrate each third on trees that haven't seen it, then learn from all.
-    third = np.arange(len(y)) % 3
+            texts = batch.column("text").to_pylist()
+            x = np.hstack([one.features(texts) for one in spread.value])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("fold"), *(pa.array(c) for c in x.T)], ["doc_id", "toxic", "fold", *columns])
+        for one in spread.value:
+            one.forget()
+
+    columns = [f"{name}_{i}" for i in range(FOLDS + 1) for name in FEATURES]
+    seen = rows.mapInArrow(run, "doc_id long, toxic int, fold int, " + ", ".join(f"{c} double" for c in columns)).toPandas().sort_values("doc_id")
+    x, y, fold = seen[columns].to_numpy(float).reshape(len(seen), FOLDS + 1, len(FEATURES)), seen["toxic"].to_numpy(float), seen["fold"].to_numpy()
     raw = np.zeros(len(y))
-    for i in range(3):
-        raw[third == i] = Trees().fit(x[third != i], y[third != i]).raw(x[third == i]) if (third != i).any() else 0.0
-    return ToxicityModel(lexicon, Trees().fit(x, y), isotonic(raw, y), prior)
+    for f in np.unique(fold).tolist():
+        own = fold == f
+        raw[own] = Trees().fit(x[~own, f], y[~own]).raw(x[own, f]) if (~own).any() else 0.0
+    return ToxicityModel(lexicons[-1], Trees().fit(x[:, -1], y), isotonic(raw, y), prior)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, spark: SparkSession) -> DataFrame:

@@ -153,6 +153,40 @@ def test_toxicity(spark, labelled, corpus, nothing):
     assert toxicity.op3_toxicity(spark, nothing, labels).count() == 0
 
 
+def test_features_of_texts(plain):
+    """Against one text and one word at a time."""
+    weights = {b"scumbag": 3.0, b"blar*": 2.6, b"moron": 1.5, b"the": 1.3}
+    texts = [t.encode() for _, t, _ in plain][:40] + [b"You SCUMBAG!! aaaargh you m0ron, blarga scumbag", b"", b"!!", b"scumbag", b"x x x x x x x x scumbag the you", b"aaa", b"aAAa 1234 t@st", b"a" * 3 + b" you"]
+    one = toxicity.Lexicon(weights)
+    got = toxicity.Lexicon(weights).features(texts)
+    for row, text in zip(got, texts, strict=True):
+        words = text.split()
+        one.profiles.clear()
+        facts = [(max((weights.get(u, 0.0) for u in toxicity.units(w)), default=0.0), w) for w in words]
+        n, size = max(1, len(words)), max(1, len(text))
+        core = lambda w: w.strip(toxicity._EDGES)
+        second = [i for i, w in enumerate(words) if core(w).lower() in toxicity.SECOND]
+        strong = [i for i, (x, _) in enumerate(facts) if x >= toxicity.STRONG]
+        kinds = {(x, core(w).lower() in toxicity.SECOND, len(core(w)) > 2 and core(w).isupper(), toxicity._obfuscated(w), any(48 <= c <= 57 for c in core(w))) for x, w in facts if x >= toxicity.STRONG}
+        expected = (len(strong) / n, sum(toxicity.WEAK <= x < toxicity.STRONG for x, _ in facts) / n, sum(x for x, _ in facts) / n, max((x for x, _ in facts), default=0), len(kinds), math.log1p(len(strong)), len(second) / n, sum(any(abs(i - j) <= toxicity.NEAR for j in second) for i in strong) / n, sum(len(core(w)) > 2 and core(w).isupper() for w in words) / n, sum(65 <= c < 91 for c in text) / size, text.count(b"!") / size, sum(text.count(c) for c in (b"!", b'"', b"'", b",", b".", b":", b";", b"?")) / size, sum(map(toxicity._obfuscated, words)) / n, sum(48 <= c < 58 for c in text) / size, math.log1p(len(words)), sum(text[i] == text[i - 1] == text[i - 2] and text[i] > 64 for i in range(2, len(text))) / size)
+        assert row.tolist() == pytest.approx(expected), text[:80]
+
+
+def test_rows_that_repeat_a_doc_id_count_once(spark, labelled):
+    docs, labels = labelled
+    few = docs.limit(300)
+    once = toxicity.train(few, labels, spark)
+    again = toxicity.train(few.unionByName(few).unionByName(few.select("doc_id", F.lit(None).cast("string").alias("text"))), labels, spark)
+    texts = [r["text"].encode() for r in docs.limit(50).collect()]
+    assert np.allclose(once.score(texts), again.score(texts)) and once.lexicon.weights == again.lexicon.weights
+
+
+def test_calibration_on_unseen_rows(spark, labelled):
+    docs, labels = labelled
+    got = toxicity.op3_toxicity(spark, docs, labels).join(labels, "doc_id").where("held_out").toPandas()
+    assert abs(got["score"].mean() - got["toxic"].mean()) < 0.05 and ((got["score"] - got["toxic"]) ** 2).mean() < 0.05
+
+
 def test_trees_and_calibration():
     rng = np.random.default_rng(1)
     x = rng.random((3000, 4))
