@@ -88,11 +88,9 @@ def _extend(window: int):
             n_words, n_hit, items, spans = [], [], [], []
             for text, hits in zip(batch.column("text").to_pylist(), batch.column("hits").to_pylist(), strict=True):
                 words = words_of(text)
-                hit, found, known = np.zeros(len(words) + 1, np.int8), set(), {}
-                for h in hits or ():
-                    if (item := known.get(h["item_text"])) is None:
-                        item = known[h["item_text"]] = words_of(h["item_text"])
-                    shift, need = h["shift"], min(window, len(item))
+                hit, found = np.zeros(len(words) + 1, np.int8), set()
+                for h, item, shift in ((h, item, shift) for h in hits or () for item in [words_of(h["item_text"])] for shift in h["shifts"]):
+                    need = min(window, len(item))
                     lo, hi = max(0, shift), min(len(words), shift + len(item))
                     same = np.fromiter((x == y for x, y in zip(words[lo:hi], item[lo - shift : hi - shift], strict=True)), np.int8, max(0, hi - lo))
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], same, [0])))).reshape(-1, 2)
@@ -136,9 +134,11 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, spark: SparkSession, windo
     kept = base.mapInArrow(_grams("doc_id", window, k, short, False, known), schema.format("doc_id"))
     items_side = asked.select("gram", "item_id", F.col("row").alias("item_row"), F.col("place").alias("item_place"))
     met = kept.join(items_side, "gram").select("doc_id", "row", "item_id", "item_row", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
+    # An item's text goes along once a document, however many shifts it is met at.
+    met = met.groupBy(F.col("doc_id").alias("h_doc"), F.col("row").alias("h_row"), "item_id", "item_row").agg(F.collect_list("shift").alias("shifts"))
     named = bench.select(F.col("item_id").alias("b_item"), F.col("row").alias("b_row"), F.col("text").alias("item_text"))
     met = met.join(named, met["item_id"].eqNullSafe(named["b_item"]) & (met["item_row"] == named["b_row"]))
-    hits = met.groupBy(F.col("doc_id").alias("h_doc"), F.col("row").alias("h_row")).agg(F.collect_list(F.struct("item_id", "item_text", "shift")).alias("hits"))
+    hits = met.groupBy("h_doc", "h_row").agg(F.collect_list(F.struct("item_id", "item_text", "shifts")).alias("hits"))
     both = base.join(hits.hint("shuffle_hash"), base["doc_id"].eqNullSafe(hits["h_doc"]) & (base["row"] == hits["h_row"]), "left")
     return both.select("doc_id", "row", "text", "hits").mapInArrow(_extend(window), "doc_id long, row long, n_words long, n_hit long, items array<long>, spans array<long>")
 
