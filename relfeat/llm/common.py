@@ -51,16 +51,19 @@ def materialize(df: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The planner's sizes of the tables that df reads, summed; costs no job. Tables of unknown size count as none."""
+def plan_bytes(df: DataFrame) -> int | None:
+    """The planner's sizes of the tables that df reads, summed; costs no job. None if it reads a table of unknown size."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return sum(s for s in sizes if s < 1 << 60)
+    return None if any(s >= 1 << 60 for s in sizes) else sum(sizes)
 
 
 def fragments_for(df: DataFrame, spark: SparkSession, bytes_each: int = 16 << 20) -> int:
-    """How many hash ranges keep one range within a task's memory, and every task busy."""
-    return max(partitions(spark), min(1 << 16, math.ceil(plan_bytes(df) / bytes_each)))
+    """How many hash ranges keep one range of df's texts within a task's memory, and every task busy."""
+    size = plan_bytes(df)
+    if size is None:  # read the texts; compressed files hold about half as many bytes
+        size = (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
+    return max(partitions(spark), math.ceil(size / bytes_each))
 
 
 def ascii_lower(text: Column) -> Column:

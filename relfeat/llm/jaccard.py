@@ -1,9 +1,9 @@
 """Documents whose sets of word n-grams are alike, found without comparing all pairs.
 
-Vertical partitioning: n-gram hashes have one global order, from rare to frequent, and the hash space is cut into
-fragments. Each fragment counts how many documents hold each of its n-grams. Two sets with a Jaccard similarity of t share
-an n-gram among the first n - ceil(t n) + 1 in global order, so only those prefixes are compared; a pair's overlaps are
-counted fragment by fragment and summed per pair.
+Vertical partitioning: n-grams have one global order, from rare to frequent (by how many documents hold them, then by hash), and
+that order is cut into fragments, each set into its segments of them. Two sets with a Jaccard similarity of t share an n-gram
+among the first n - ceil(t n) + 1 in global order, so only sets that do can be a pair; each fragment counts a pair's overlap among
+its own segments, and the partial overlaps are summed per pair.
 
 Equal texts are one node from the start. Nodes that share a prefix n-gram form a list. First, each node is compared with
 the hub of its longest list; next, one node of each component in a list with its hub; last, nodes of a list that are still in
@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from relfeat.llm.common import BASE, WordIds, by_key, fragments_for, materialize, mix64, partitions, planes, powers, rabin_karp, range_of, runs, slices, text_bytes, unplanes, window_starts
 from relfeat.llm.graph import components
 
-#: Fragments in which a pair's overlap is counted.
-_PARTS = 4
+#: Where the global order is cut: places (documents that hold an n-gram, its hash as a share of the hash space) in it. Most shared
+#: n-grams stand in two or three documents.
+_CUTS = ((2, 0.5), (3, 0.0), (3, 0.5), (4, 0.0), (6, 0.0), (16, 0.0))
 #: Words of 64 bits in a set's parity mark.
 _MARK = 16
 _BLOCK = pa.schema([("fragment", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("owners", pa.binary()), ("documents", pa.binary())])
 _REPLY = pa.schema([("chunk", pa.int64()), ("grams", pa.binary()), ("owners", pa.binary()), ("counts", pa.binary()), ("documents", pa.binary())])
-_SETS = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("grams", pa.binary())])
+_SETS = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("grams", pa.binary()), ("cuts", pa.binary())])
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,8 +105,16 @@ def need(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def fragment_of(gram: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The fragment of the global order that each n-gram stands in."""
+    out = np.zeros(len(gram), np.int64)
+    for held, part in _CUTS:
+        out += (count > held) | ((count == held) & (gram >= np.uint64(int(part * 2**64))))
+    return out
+
+
 def _sets(percent: int):
-    """Per document its set size and, if it can be like any other, its shared n-grams in global order."""
+    """Per document its set size and, if it can be like any other, its shared n-grams in global order and where fragments end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches, "chunk"):
@@ -117,8 +126,11 @@ def _sets(percent: int):
             keep = enough[owner]
             gram, owner, count = gram[keep], owner[keep], count[keep]
             order = np.lexsort((gram, count, owner))
-            gram, cut = gram[order], np.searchsorted(owner[order], np.arange(len(nodes) + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sizes.astype(np.int32)), pa.array([gram[a:b].tobytes() if a < b else None for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], schema=_SETS)
+            gram, count, cut = gram[order], count[order], np.searchsorted(owner[order], np.arange(len(nodes) + 1))
+            ends = np.zeros((len(nodes), len(_CUTS) + 1), "<u4")
+            np.add.at(ends, (owner[order], fragment_of(gram, count)), 1)
+            ends = ends.cumsum(1, dtype="<u4")
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sizes.astype(np.int32)), pa.array([gram[a:b].tobytes() if a < b else None for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([e.tobytes() for e in ends], pa.binary())], schema=_SETS)
 
     return run
 
@@ -141,13 +153,12 @@ def _prefixes(percent: int):
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets cut by hash range into sorted parts."""
+    """Sets cut into their segments of the global order's fragments, each sorted by hash; empty ones have no row."""
     for batch in batches:
         out: list[dict] = []
-        for node, data in zip(batch.column("node").to_pylist(), batch.column("grams").to_pylist(), strict=True):
-            gram = np.sort(np.frombuffer(data, np.uint64))
-            cut = np.searchsorted(range_of(gram, _PARTS), np.arange(_PARTS + 1))
-            out += [{"node": node, "part": p, "piece": gram[cut[p] : cut[p + 1]].tobytes()} for p in range(_PARTS)]
+        for node, data, cuts in zip(*(batch.column(c).to_pylist() for c in ("node", "grams", "cuts")), strict=True):
+            gram, ends = np.frombuffer(data, np.uint64), np.frombuffer(cuts, "<u4").tolist()
+            out += [{"node": node, "part": p, "piece": np.sort(gram[low:high]).tobytes()} for p, (low, high) in enumerate(zip([0, *ends], ends, strict=False)) if low < high]
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("node", pa.int64()), ("part", pa.int32()), ("piece", pa.binary())]))
 
 
@@ -199,12 +210,13 @@ def similar_documents(docs: DataFrame, spark: SparkSession, k: int = 5, percent:
     several = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     copies = rows.where("not empty").join(least.withColumnRenamed("node", "least_node"), (F.col("node") == F.col("least_node")) & (F.col("doc_id") > F.col("least_doc"))).select("doc_id")
     copies = materialize(copies.join(several, "doc_id", "left_anti"), spark)
-    firsts = base.join(copies, "doc_id", "left_anti")
+    # In an order of the rows' own, so that a task that is run again cuts the same chunks.
+    firsts = base.join(copies, "doc_id", "left_anti").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     fragments = fragments_for(base, spark)
     blocks = firsts.mapInArrow(_blocks(k, fragments), "fragment int, chunk long, grams binary, owners binary, documents binary")
     replies = blocks.repartitionById(fragments, F.col("fragment")).sortWithinPartitions("fragment", "chunk").mapInArrow(_shared, "chunk long, grams binary, owners binary, counts binary, documents binary")
-    sets = replies.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(_sets(percent), "node long, n int, grams binary")
+    sets = replies.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(_sets(percent), "node long, n int, grams binary, cuts binary")
     sets = materialize(sets, spark)
 
     able = sets.where("grams is not null").dropDuplicates(["node"])

@@ -105,7 +105,8 @@ def repeated_spans(docs: DataFrame, spark: SparkSession, k: int = 35) -> DataFra
     """
     base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), text_bytes())
     fragments = fragments_for(base, spark)
-    blocks = base.mapInArrow(_blocks(k, fragments), "fragment int, chunk long, hashes binary, places binary, repeated binary, documents binary")
+    # In an order of the rows' own, so that a task that is run again cuts the same chunks.
+    blocks = base.sortWithinPartitions("doc_id", "row").mapInArrow(_blocks(k, fragments), "fragment int, chunk long, hashes binary, places binary, repeated binary, documents binary")
     replies = blocks.repartitionById(fragments, F.col("fragment")).sortWithinPartitions("fragment", "chunk").mapInArrow(_count, "chunk long, places binary, documents binary")
     spans = replies.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(_merge(k), "doc_id long, row long, spans array<long>")
     return spans.groupBy("doc_id", "row").agg(F.first("spans").alias("spans"))

@@ -239,6 +239,20 @@ def test_near_copies(spark, corpus, plain, nothing):
     assert jaccard.op4_ngram_jaccard(spark, nothing).count() == 0
 
 
+def test_fragments_follow_the_global_order():
+    rng = np.random.default_rng(1)
+    gram, count = rng.integers(0, 2**64, 4000, np.uint64), rng.integers(2, 30, 4000)
+    order = np.lexsort((gram, count))
+    parts = jaccard.fragment_of(gram[order], count[order])
+    assert (np.diff(parts) >= 0).all() and set(parts.tolist()) == set(range(len(jaccard._CUTS) + 1))
+
+
+def test_ranges_of_tables_that_no_file_holds(spark):
+    made = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("x" * 1000).alias("text"))
+    local = spark.createDataFrame([(1, "x" * 50_000)], "doc_id long, text string")
+    assert common.fragments_for(local, spark, 1000) >= 25 and common.fragments_for(made, spark, 1 << 30) == common.partitions(spark)
+
+
 def test_chains_and_families_of_near_copies(spark):
     rng = random.Random(2)
     rows, words = [], [f"w{i}" for i in range(80)]
