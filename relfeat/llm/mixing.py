@@ -116,7 +116,8 @@ def plan_mix(docs: DataFrame, spark: SparkSession, weights: Sequence[float] = (3
     pieces = rows.withColumn("rank", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first("lo"), first("lo + size - 1")))))
     low, high = F.col("rank") * F.col("block"), (F.col("rank") + 1) * F.col("block")
     pieces = pieces.withColumn("words", F.when(F.col("rank") < F.col("slots"), F.least(F.col("lo") + F.col("size"), high) - F.greatest("lo", low)).otherwise(0).cast("long"))
-    met = pieces.join(schedule(spark, total, ends), ["s", "rank"], "left")
+    # The schedule grows with the corpus, so it is never broadcast.
+    met = pieces.join(schedule(spark, total, ends).hint("merge"), ["s", "rank"], "left")
     order = F.when(F.col("rank") < F.col("slots"), F.coalesce("slot", F.lit(total) + F.col("slots_before") + F.col("rank")))
     return met.select("doc_id", "row", "source", "size", "source_size", "target", "bucket", "nth", "start", order.alias("slot"), "words")
 
