@@ -44,10 +44,14 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/relfeat-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, spark: SparkSession) -> DataFrame:
+#: For rows of some MB: small row groups, whose size is looked at after each row (by default after a hundred, held till then).
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "8", "parquet.page.size.row.check.min": "1"}
+
+
+def materialize(df: DataFrame, spark: SparkSession, options: dict[str, str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there and no lost executor takes it along."""
     path = work_dir(spark)
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

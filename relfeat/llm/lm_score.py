@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relfeat.llm.attention import WINDOW, AttentionModel
-from relfeat.llm.common import by_key, fragments_for, from_nullable, materialize, mix64, nullable, partitions, planes, range_of, slices, text_bytes, unplanes
+from relfeat.llm.common import LARGE_ROWS, by_key, fragments_for, from_nullable, materialize, mix64, nullable, partitions, planes, range_of, slices, text_bytes, unplanes
 from relfeat.llm.token_files import encoder
 
 #: Of so many windows of a training text one is trained on: that of the least hash modulo this.
@@ -48,15 +48,18 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_token
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Python gets about _BATCH_BYTES at a time meanwhile, or one row. For what is run at once; not for lazy frames."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(_BATCH_BYTES))
+def large_rows(spark: SparkSession) -> Iterator[None]:
+    """For rows of some MB meanwhile: Python gets about _BATCH_BYTES at a time, or one row; files are read by rows, not by some
+    thousand at once; and a shuffle's files go when what it was for is written. For what is run at once; not for lazy frames."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(_BATCH_BYTES), "spark.sql.parquet.enableVectorizedReader": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {name: spark.conf.get(name) for name in wanted}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def held_out(folds: int = 7, fold: int = 2) -> Column:
@@ -347,18 +350,19 @@ def score_texts(docs: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     vocabulary = encoder(path).library.get_vocab_size()
     if vocabulary >= 1 << 16:
         raise ValueError(f"{path}: ids above 65535 are not supported")
-    with small_batches(spark):
+    with large_rows(spark):
         # Written once: a chunk keeps its number and content, whatever is run again later.
-        chunks = materialize(base.mapInArrow(_chunks(path), _CHUNK_SQL), spark)
+        chunks = materialize(base.mapInArrow(_chunks(path), _CHUNK_SQL), spark, LARGE_ROWS)
         model = train(chunks, spark, vocabulary)
 
         fragments = fragments_for(base, spark, 4 << 20)
         blocks = chunks.mapInArrow(_blocks(fragments), "fragment int, chunk long, keys binary, counts binary")
         replies = blocks.repartitionById(fragments, F.col("fragment")).sortWithinPartitions("fragment", "chunk").mapInArrow(_totals, "chunk long, fragment int, totals binary, tokens long, kinds long")
-        replies = materialize(replies, spark)
+        replies = materialize(replies, spark, LARGE_ROWS)
         tokens, kinds = replies.where("chunk is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
         answers = replies.where("chunk is not null").select(F.expr("chunk div 2").alias("chunk"), "fragment", (F.col("chunk") % 2).cast("int").alias("pair"), "totals")
-        both = answers.unionByName(chunks, allowMissingColumns=True).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", F.col("fragment").asc_nulls_last())
+        # As many parts as ranges: a part holds some chunks, however many there are.
+        both = answers.unionByName(chunks, allowMissingColumns=True).repartition(fragments, "chunk").sortWithinPartitions("chunk", F.col("fragment").asc_nulls_last())
         scored = both.mapInArrow(_scored(spark.sparkContext.broadcast(model), tokens, kinds), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, attention_score double, score double")
         scored = materialize(scored, spark)
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))

@@ -10,6 +10,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,6 +316,20 @@ def test_lm_learns_from_the_whole_corpus(spark, monkeypatch):
     assert attention_alone > untrained + 1 and score > score_untrained + 0.1 and score > base + 0.4
 
 
+def test_large_rows_are_not_held_together(spark):
+    """Rows of some MB are written in small row groups and read by rows; settings come back afterwards."""
+    rows = spark.range(48).repartition(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"x": [np.random.default_rng(i).bytes(1 << 20)]}) for b in batches for i in range(b.num_rows)), "x binary")
+    names = ("spark.sql.parquet.enableVectorizedReader", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(name) for name in names]
+    with lm_score.large_rows(spark):
+        kept = common.materialize(rows, spark, common.LARGE_ROWS)
+        assert kept.count() == 48 and spark.conf.get(names[0]) == "false"
+        assert "ColumnarToRow" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert [spark.conf.get(name) for name in names] == before
+    footers = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in kept.inputFiles()]
+    assert max(m.row_group(i).num_rows for m in footers for i in range(m.num_row_groups)) <= 24
+
+
 def test_texts_that_occur_twice_stand_apart(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("length(text) > 200")
     some = docs.where(~lm_score.held_out()).orderBy(F.xxhash64("doc_id")).limit(20)
