@@ -509,8 +509,15 @@ class _NthStd(_CountRelative):
 
     side: str
 
-    def distance(self, column: Column, group: Group) -> tuple[Column, Column]:
-        return F.abs(column - group.over(F.avg(column))), group.over(F.stddev_pop(column)) * F.lit(float(self.n))
+    def inside(self, column: Column, group: Group) -> Column:
+        """Whether |x - mean| <= n * std. Where whole numbers make both sides times the count, squared, exact in doubles, that
+        is what is compared: a value just n deviations away is inside, in whatever order rows come. Else rounded as they are."""
+        x, n = column.cast("double"), float(self.n)
+        rounded = F.abs(column - group.over(F.avg(column))) <= group.over(F.stddev_pop(column)) * F.lit(n)
+        count, total = group.over(F.count(x)).cast("double"), group.over(F.sum(x))
+        away, spread = count * x - total, count * group.over(F.sum(x * x)) - total * total
+        exact = group.over(F.min(x == F.rint(x))) & (16 * max(1.0, n * n) * (count * group.over(F.max(F.abs(x)))) * (count * group.over(F.max(F.abs(x)))) < float(1 << 50))
+        return F.when(exact, away * away <= spread * F.lit(n * n)).otherwise(rounded)
 
 
 @register
@@ -522,8 +529,7 @@ class CountInsideNthStd(_NthStd):
     name, side, input_dtypes, output_dtype, default_value, stack_on_self = "count_inside_nth_std", "INSIDE", (D.NUMERIC,), LONG, 0, False
 
     def compare_with_group(self, column: Column, *, group: Group) -> Column:
-        away, reach = self.distance(column, group)
-        return away <= reach
+        return self.inside(column, group)
 
 
 @register
@@ -535,5 +541,4 @@ class CountOutsideNthStd(_NthStd):
     name, side, input_dtypes, output_dtype, default_value, stack_on_self = "count_outside_nth_std", "OUTSIDE", (D.NUMERIC,), LONG, 0, False
 
     def compare_with_group(self, column: Column, *, group: Group) -> Column:
-        away, reach = self.distance(column, group)
-        return away > reach
+        return ~self.inside(column, group)

@@ -7,6 +7,7 @@ import math
 import shutil
 import warnings
 from dataclasses import dataclass
+from fractions import Fraction
 
 import pytest
 from helpers import column, day
@@ -228,3 +229,22 @@ def test_sinks(shop, tmp_path, spark):
         relfeat.collect_feature_matrix(got, "pandas", "2")
     paths = relfeat.write_feature_matrix(got, str(tmp_path / "m"), 3)
     assert sum(len(spark.read.parquet(p).columns) - 1 for p in paths) == len(got.columns) - 1
+
+
+def test_values_just_n_deviations_away(spark):
+    """They are inside, though rounding would tell some of them from the bound."""
+    groups = [(7, 4), (3, 3, 3), (-6, -6, 1, 1), (10, 10, 11, 11), (5, 8, 6, 9, 9, 8), (13, 9, 12, 13, 10, 15), (10, 13, 8, 12, 9, 14, 11), (1 << 40, 1 << 41), (0.1, 0.9), (None, 5, 8)]
+    parents = spark.range(len(groups))
+    rows = [(100 * g + i, g, None if x is None else float(x)) for g, xs in enumerate(groups) for i, x in enumerate(xs)]
+    db = relfeat.Database("d").add_table("a", parents, "id").add_table("b", spark.createDataFrame(rows, "k long, a_id long, x double"), "k").add_relationship("a", "b", "a_id")
+    for n in (1, 1.5):
+        matrix, _ = relfeat.deep_feature_synthesis(db, "a", [P.CountInsideNthStd(n), P.CountOutsideNthStd(n)], [], [], 1)
+        expected = []
+        for xs in groups[:7]:
+            gap = [(len(xs) * x - sum(xs)) ** 2 - Fraction(n) ** 2 * (len(xs) * sum(v * v for v in xs) - sum(xs) ** 2) for x in xs]
+            expected.append(sum(v <= 0 for v in gap))
+        stem = str(n).replace(".", "_")
+        assert column(matrix, f"COUNT_INSIDE_{stem}_STD__b__x")[:7] == expected
+        assert column(matrix, f"COUNT_OUTSIDE_{stem}_STD__b__x")[:7] == [len(xs) - e for xs, e in zip(groups, expected, strict=False)]
+        inside, outside = (column(matrix, f"COUNT_{side}_{stem}_STD__b__x") for side in ("INSIDE", "OUTSIDE"))
+        assert [i + o for i, o in zip(inside, outside, strict=True)] == [sum(x is not None for x in xs) for xs in groups]
