@@ -196,17 +196,10 @@ class AttentionModel:
     def fit(self, last: np.ndarray, before: np.ndarray, following: np.ndarray, alive: np.ndarray, start: float = 1.0, end: float = 0.0, epochs: int = 1, seed: int = 6) -> AttentionModel:
         """Adam over the windows, BATCH at a time, in an order of its own; the step falls from start to end times RATE."""
         rng = np.random.default_rng(seed)
-        m, s = ({k: np.zeros_like(v) for k, v in self.weights.items()} for _ in range(2))
+        adam = Adam(self)
         steps = [part for _ in range(epochs) for part in np.array_split(rng.permutation(len(last)), max(1, -(-len(last) // BATCH))) if len(part)]
         for t, some in enumerate(steps, 1):
-            _, g = self.gradients(last[some], before[some], following[some], alive[some])
-            pace = RATE * min(1.0, t / 20) * (start + (end - start) * t / (len(steps) + 1))
-            for k, v in g.items():
-                m[k] *= _FORGET
-                m[k] += (1 - _FORGET) * v
-                s[k] *= _FORGET_SQUARES
-                s[k] += (1 - _FORGET_SQUARES) * v * v
-                self.weights[k] -= (pace / (1 - _FORGET**t) * m[k] / (np.sqrt(s[k] / (1 - _FORGET_SQUARES**t)) + 1e-8)).astype(np.float32)
+            adam.step(last[some], before[some], following[some], alive[some], start + (end - start) * t / (len(steps) + 1))
         return self
 
     def scores(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -240,3 +233,24 @@ class AttentionModel:
         parts = np.split(flat.astype(np.float32), ends[:-1])
         weights = {k: p.reshape(self.weights[k].shape) for k, p in zip(sorted(self.weights), parts, strict=True)}
         return AttentionModel(self.place, self.share, self.size, self.classes, weights)
+
+
+class Adam:
+    """Trains a model, some windows after others."""
+
+    def __init__(self, model: AttentionModel) -> None:
+        self.model, self.t = model, 0
+        self.means, self.squares = ({k: np.zeros_like(v) for k, v in model.weights.items()} for _ in range(2))
+
+    def step(self, last: np.ndarray, before: np.ndarray, following: np.ndarray, alive: np.ndarray, size: float) -> None:
+        """One step, of size times RATE; the first ones are smaller."""
+        self.t += 1
+        _, g = self.model.gradients(last, before, following, alive)
+        pace = RATE * min(1.0, self.t / 20) * size / (1 - _FORGET**self.t)
+        for k, v in g.items():
+            m, s = self.means[k], self.squares[k]
+            m *= _FORGET
+            m += (1 - _FORGET) * v
+            s *= _FORGET_SQUARES
+            s += (1 - _FORGET_SQUARES) * v * v
+            self.model.weights[k] -= (pace * m / (np.sqrt(s / (1 - _FORGET_SQUARES**self.t)) + 1e-8)).astype(np.float32)

@@ -45,7 +45,7 @@ def work_dir(spark: SparkSession) -> str:
 
 
 #: For rows of some MB: small row groups, whose size is looked at after each row (by default after a hundred, held till then).
-LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "8", "parquet.page.size.row.check.min": "1"}
+LARGE_ROWS = {"compression": "zstd", "parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "8", "parquet.page.size.row.check.min": "1"}
 
 
 def materialize(df: DataFrame, spark: SparkSession, options: dict[str, str] | None = None) -> DataFrame:

@@ -6,8 +6,8 @@ update (Dirichlet smoothing). Each part sums to at most 1 over all words, so doe
 
 Texts are cut into chunks once and written. Counts: each chunk sends the hashes of its distinct words and word pairs, with their
 training counts, to the tasks that own their ranges of the hash space, which sum over the corpus and answer each chunk.
-Weights: windows are drawn from all training documents, one of EVERY, and dealt to shards by their hash; each shard trains on its
-own, and the shards' weights are averaged, in ROUNDS rounds. What is learned from grows with the corpus.
+Weights: all windows of all training documents are dealt to rounds, shards and pieces by their hash, each to one; each shard trains
+on its own, a piece after another, and the shards' weights are averaged after each of the ROUNDS rounds.
 """
 
 from __future__ import annotations
@@ -25,15 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relfeat.llm.attention import WINDOW, AttentionModel
+from relfeat.llm.attention import BATCH, WINDOW, Adam, AttentionModel
 from relfeat.llm.common import LARGE_ROWS, by_key, fragments_for, from_nullable, materialize, mix64, nullable, partitions, planes, range_of, slices, text_bytes, unplanes
 from relfeat.llm.token_files import encoder
 
-#: Of so many windows of a training text one is trained on: that of the least hash modulo this.
-EVERY = 64
-#: How often shards train and their weights are averaged, and windows of a shard at least (there are as many shards as
-#: partitions at most).
-ROUNDS, SHARD_WINDOWS = 2, 8192
+#: How often shards train and their weights are averaged; windows of a shard at least (there are as many shards as partitions at
+#: most), about so many of which are in memory at a time; and the most in a step.
+ROUNDS, SHARD_WINDOWS, PIECE_WINDOWS, STEP_WINDOWS = 2, 1 << 17, 8192, 256
 #: The weight of a word's share of all words in the prior, and occurrences that the prior weighs as much as beside pair counts.
 SHARE, PRIOR = 0.5, 100.0
 #: Entries of a memo before it is emptied, bytes of text in a chunk, and bytes that Python gets at a time.
@@ -169,29 +167,51 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
 
-def _drawn(vocabulary: int):
-    """Rows (key, ids, first) of the windows drawn from training texts: ids before the window, `first` of them, then its own.
+def _counted(vocabulary: int):
+    """Once a task, how often each id is in training texts, and how many windows these have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(vocabulary + 2, np.int64)
+        for row in _rows(batches):
+            chunk = Chunk(row)
+            ids, sizes, _ = chunk.ids(~chunk.held)
+            counts[:-1] += np.bincount(ids, minlength=vocabulary + 1)
+            counts[-1] += int((-(-sizes // WINDOW)).sum())
+        yield pa.RecordBatch.from_pydict({"ids": [counts.astype("<i8").tobytes()]})
+
+    return run
 
-    And once a task a row without a key: the counts of all ids of training texts.
-    """
+
+def _windows(nth: int, shards: int, pieces: int):
+    """Each chunk's training windows of one round, a row for each piece of a shard: their keys, sizes, how many of their ids come
+    before the window (two, or none at a text's start), and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(vocabulary + 1, np.int64)
         for row in _rows(batches):
             chunk = Chunk(row)
             ids, sizes, _ = chunk.ids(~chunk.held)
-            counts += np.bincount(ids, minlength=vocabulary + 1)
             many = -(-sizes // WINDOW)
             owner = np.repeat(np.arange(len(sizes)), many)
-            nth = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-            key = mix64(chunk.rows[~chunk.held].astype(np.uint64)[owner] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            drawn = np.flatnonzero(key % np.uint64(EVERY) == 0)
-            low = (np.cumsum(sizes) - sizes)[owner[drawn]]
-            start = low + nth[drawn] * WINDOW
-            stop = np.minimum(start + WINDOW, low + sizes[owner[drawn]])
-            taken = [ids[max(a - 2, b) : c].astype("<u2").tobytes() for a, b, c in zip(start.tolist(), low.tolist(), stop.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array((key[drawn] >> np.uint64(1)).astype(np.int64)), pa.array(taken, pa.binary()), pa.array(np.minimum(start - low, 2).astype(np.int32))], ["key", "ids", "first"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([counts.astype("<i8").tobytes()]), pa.array([None], pa.int32())], ["key", "ids", "first"])
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+            key = mix64(chunk.rows[~chunk.held].astype(np.uint64)[owner] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            own = np.flatnonzero(key % np.uint64(ROUNDS) == nth)
+            piece = range_of(key[own], shards * pieces).astype(np.int64)
+            order = np.argsort(piece, kind="stable")
+            own, piece = own[order], piece[order]
+            if not len(own):
+                continue
+            low = (np.cumsum(sizes) - sizes)[owner[own]]
+            start = low + number[own] * WINDOW
+            first = np.minimum(start - low, 2)
+            size = np.minimum(start + WINDOW, low + sizes[owner[own]]) - start + first
+            ends = np.cumsum(size)
+            taken = ids[np.arange(int(ends[-1])) + np.repeat(start - first - (ends - size), size)].astype("<u2")
+            cut = np.append(np.flatnonzero(np.diff(piece, prepend=-1)), len(own)).tolist()
+            at = np.concatenate(([0], ends))
+            spans = list(zip(cut[:-1], cut[1:], strict=True))
+            columns = [pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (key[own], size.astype(np.uint8), first.astype(np.uint8))]
+            numbers = piece[cut[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers // pieces), pa.array(numbers), *columns, pa.array([taken[at[i] : at[j]].tobytes() for i, j in spans], pa.binary())], ["shard", "piece", "keys", "sizes", "firsts", "ids"])
 
     return run
 
@@ -205,34 +225,55 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"counts": [total.tobytes()]})
 
 
+def _examples(model: AttentionModel, ids: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows laid end to end (the first ids of each come before it) as the arrays that the model trains on."""
+    at = (np.cumsum(sizes) - sizes + first)[:, None] + np.arange(WINDOW)
+    alive = np.arange(WINDOW) < (sizes - first)[:, None]
+    return *(np.where(alive, part[np.minimum(at, len(ids) - 1)], 0) for part in model.gather(ids, sizes)), alive
+
+
 def examples(model: AttentionModel, windows: list[tuple[bytes, int]]) -> tuple[np.ndarray, ...]:
     """Windows (ids, how many of them come before) as the arrays that the model trains on."""
-    last, before, following = np.zeros((3, len(windows), WINDOW), np.int64)
-    alive = np.zeros((len(windows), WINDOW), bool)
-    for i, (data, first) in enumerate(windows):
-        ids = np.frombuffer(data, "<u2").astype(np.int64)
-        n = len(ids) - first
-        for out, part in zip((last, before, following), model.gather(ids, np.array([len(ids)])), strict=True):
-            out[i, :n] = part[first:]
-        alive[i, :n] = True
-    return last, before, following, alive
+    ids = np.frombuffer(b"".join(data for data, _ in windows), "<u2").astype(np.int64)
+    return _examples(model, ids, np.array([len(data) // 2 for data, _ in windows]), np.array([first for _, first in windows]))
 
 
 #: Weights in one row of those that are averaged.
 _PIECE = 1 << 16
 
 
-def _shard(spread, nth: int):
-    """Trains on each shard's windows; rows (piece, shard, n, weights)."""
+def _trained(model: AttentionModel, adam: Adam, rows: list[dict], step: int, sizes: tuple[float, float]) -> int:
+    """Trains on one piece's windows, in the order of their keys and ids; how many there are. sizes: of its first step and its last."""
+    key, size, first = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("keys", "<u8"), ("sizes", np.uint8), ("firsts", np.uint8)))
+    parts = _examples(model, np.concatenate([np.frombuffer(r["ids"], "<u2") for r in rows]).astype(np.int64), size.astype(np.int64), first.astype(np.int64))
+    order = np.lexsort((*parts[2].T[:4], key))
+    many = -(-len(order) // step)
+    for i, some in enumerate(np.array_split(order, many)):
+        adam.step(*(x[some] for x in parts), sizes[0] + (sizes[1] - sizes[0]) * i / many)
+    return len(order)
+
+
+def _shard(spread, nth: int, pieces: int, step: int):
+    """Trains on each shard's windows, a piece at a time; rows (piece of weights, shard, n, weights)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, rows in by_key(batches, "shard"):
-            rows.sort(key=lambda r: (r["key"], r["ids"]))
-            model = spread.value.unpack(spread.value.pack())
-            model.fit(*examples(model, [(r["ids"], r["first"]) for r in rows]), start=1 - nth / ROUNDS, end=1 - (nth + 1) / ROUNDS, seed=nth)
+        whole = lambda number: (1 - (nth + number / pieces) / ROUNDS)
+        at, model, adam, n = None, None, None, 0
+
+        def done() -> pa.RecordBatch:
             flat = model.pack()
             parts = [flat[i : i + _PIECE].tobytes() for i in range(0, len(flat), _PIECE)]
-            yield pa.RecordBatch.from_pydict({"piece": np.arange(len(parts)), "shard": np.full(len(parts), shard), "n": np.full(len(parts), len(rows)), "weights": parts})
+            return pa.RecordBatch.from_pydict({"piece": np.arange(len(parts)), "shard": np.full(len(parts), at), "n": np.full(len(parts), n), "weights": parts})
+
+        for piece, rows in by_key(batches, "piece"):
+            if piece // pieces != at:
+                if at is not None:
+                    yield done()
+                model = spread.value.unpack(spread.value.pack().copy())
+                at, adam, n = piece // pieces, Adam(model), 0
+            n += _trained(model, adam, rows, step, (whole(piece % pieces), whole(piece % pieces + 1)))
+        if at is not None:
+            yield done()
 
     return run
 
@@ -256,15 +297,18 @@ def train(chunks: DataFrame, spark: SparkSession, vocabulary: int) -> AttentionM
 
     The driver gets sixteen rows of counts at most, and the mean weights: some MB, by the vocabulary's size.
     """
-    drawn = materialize(chunks.mapInArrow(_drawn(vocabulary), "key long, ids binary, first int"), spark)
-    counts = drawn.where("key is null").select("ids").repartition(min(16, partitions(spark))).mapInArrow(_summed, "counts binary").collect()
-    model = AttentionModel.over(sum((np.frombuffer(r["counts"], "<i8") for r in counts), np.zeros(vocabulary + 1, np.int64)))
-    drawn = drawn.where("key is not null")
-    shards = max(1, min(partitions(spark), drawn.count() // SHARD_WINDOWS))
-    dealt = drawn.withColumn("shard", (F.shiftright("key", 24) % shards).cast("int")).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key")
+    counts = chunks.mapInArrow(_counted(vocabulary), "ids binary").repartition(min(16, partitions(spark))).mapInArrow(_summed, "counts binary").collect()
+    counts = sum((np.frombuffer(r["counts"], "<i8") for r in counts), np.zeros(vocabulary + 2, np.int64))
+    model, windows = AttentionModel.over(counts[:-1]), int(counts[-1])
+    shards = max(1, min(partitions(spark), windows // SHARD_WINDOWS))
+    each = windows // (max(1, ROUNDS) * shards)  # a shard's windows of a round
+    pieces = max(1, each // PIECE_WINDOWS)
+    step = min(STEP_WINDOWS, max(BATCH, each // 256))
     for nth in range(ROUNDS):
         spread = spark.sparkContext.broadcast(model)
-        trained = dealt.mapInArrow(_shard(spread, nth), "piece long, shard long, n long, weights binary")
+        dealt = chunks.mapInArrow(_windows(nth, shards, pieces), "shard long, piece long, keys binary, sizes binary, firsts binary, ids binary")
+        dealt = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("piece")
+        trained = dealt.mapInArrow(_shard(spread, nth, pieces, step), "piece long, shard long, n long, weights binary")
         mean = trained.repartition(partitions(spark), "piece").sortWithinPartitions("piece", "shard").mapInArrow(_average, "piece long, weights binary").collect()
         if not mean:
             break

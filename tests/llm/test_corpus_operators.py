@@ -316,6 +316,27 @@ def test_lm_learns_from_the_whole_corpus(spark, monkeypatch):
     assert attention_alone > untrained + 1 and score > score_untrained + 0.1 and score > base + 0.4
 
 
+def test_lm_trains_on_every_window(spark, monkeypatch):
+    """Each id of each training text is trained on once, in one shard of one round."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    path = lm_score.public_tokenizers.path("word_bpe_49k.json")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("row"), common.text_bytes(), lm_score.held_out().alias("held_out"))
+    chunks = common.materialize(texts.mapInArrow(lm_score._chunks(path), lm_score._CHUNK_SQL), spark)
+    expected, got = Counter(), Counter()
+    for row in chunks.collect():
+        chunk = lm_score.Chunk(row.asDict())
+        expected.update(chunk.ids(~chunk.held)[0].tolist())
+    for nth in range(lm_score.ROUNDS):
+        for r in chunks.mapInArrow(lm_score._windows(nth, 3, 2), "shard long, piece long, keys binary, sizes binary, firsts binary, ids binary").collect():
+            assert r["shard"] == r["piece"] // 2 and r["piece"] < 6
+            ids, at = np.frombuffer(r["ids"], "<u2"), 0
+            for size, first in zip(r["sizes"], r["firsts"], strict=True):
+                got.update(ids[at + first : at + size].tolist())
+                at += size
+            assert at == len(ids)
+    assert got == expected and expected.total() > 100_000
+
+
 def test_large_rows_are_not_held_together(spark):
     """Rows of some MB are written in small row groups and read by rows; settings come back afterwards."""
     rows = spark.range(48).repartition(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"x": [np.random.default_rng(i).bytes(1 << 20)]}) for b in batches for i in range(b.num_rows)), "x binary")
