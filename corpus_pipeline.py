@@ -6,10 +6,13 @@ doc_id is a document like others, a null text an empty one. Empty tables pass th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relfeat.llm.common import materialize, table
+from relfeat.llm.common import BATCH_BYTES, BATCH_SETTING, materialize, table
 from relfeat.llm.decontaminate import benchmark_hits, contaminated
 from relfeat.llm.jaccard import similar_documents
 from relfeat.llm.mixing import mix_sources
@@ -17,17 +20,33 @@ from relfeat.llm.token_files import op7_token_files
 from relfeat.llm.toxicity import held_out, reject_toxic, train
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _bounded(stage: Stage) -> Stage:
+    """The stage, with Python getting some MB of documents at a time. Its result is lazy, so the setting stays with the session."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc, key, row): each row of docs as one column, whatever names its columns have; its doc_id and its text's hash."""
     return docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"))
 
 
+@_bounded
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go. It learns from the labels that its own query learns from."""
     labels = table(spark, sf_dir, "labels").where(~held_out())
     return reject_toxic(docs, train(docs, labels, spark), spark)
 
 
+@_bounded
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links join, the one with the least doc_id stays. Documents without words all stay."""
     alike = similar_documents(docs, spark)
@@ -36,6 +55,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(gone, rows["key"].eqNullSafe(gone["gone"]), "left_anti").select("doc.*")
 
 
+@_bounded
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages cover a twentieth or more go."""
     hits = benchmark_hits(docs, table(spark, sf_dir, "benchmark"), spark)
@@ -44,6 +64,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.join(gone, rows["key"].eqNullSafe(gone["gone"]) & (rows["row"] == gone["gone_row"]), "left_anti").select("doc.*")
 
 
+@_bounded
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes their words: taken / size, 0 to 2 times. Without words: once.
 
@@ -58,6 +79,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return met.select("doc", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("doc.*")
 
 
+@_bounded
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back: one row a document."""
     return op7_token_files(spark, docs)

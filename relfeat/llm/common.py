@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,32 @@ def materialize(df: DataFrame, spark: SparkSession, options: dict[str, str] | No
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: How many bytes of rows Python gets at a time. Spark and Python both hold a batch, more than once; by default it has up to 10,000
+#: rows, whatever their size, or 64 MB.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """The session's settings meanwhile. For what is run at once; not for lazy frames."""
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def give_back() -> None:
+    """Hand memory that is free but kept back to the machine; a Python worker lives on after its task, beside other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def plan_bytes(df: DataFrame) -> int | None:
     """The planner's sizes of the tables that df reads, summed; costs no job. None if it reads a table of unknown size."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relfeat.llm.common import BASE, WordIds, by_key, fragments_for, materialize, mix64, partitions, planes, powers, rabin_karp, range_of, runs, slices, text_bytes, unplanes, window_starts
+from relfeat.llm.common import BASE, BATCH_BYTES, BATCH_SETTING, WordIds, by_key, fragments_for, give_back, materialize, mix64, partitions, planes, powers, rabin_karp, range_of, runs, settings, slices, text_bytes, unplanes, window_starts
 from relfeat.llm.graph import components
 
 #: Where the global order is cut: places (documents that hold an n-gram, its hash as a share of the hash space) in it. Most shared
@@ -39,6 +39,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = [t.lower().split() for t in batch.column("text").to_pylist()]  # of bytes: only A-Z change
         node = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words), np.uint64, len(words)).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node), pa.array([not w for w in words])], ["doc_id", "node", "empty"])
+    give_back()
 
 
 def shingles(hashed: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +79,8 @@ def _blocks(k: int, fragments: int):
             cut = np.searchsorted(range_of(gram, fragments), np.arange(fragments + 1))
             out += [{"fragment": f, "chunk": chunk, "grams": planes(gram[a:b]), "owners": planes(owner[a:b])} for f, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < b]
             yield pa.RecordBatch.from_pylist(out, schema=_BLOCK)
+        ids.clear()
+        give_back()
 
     return run
 
@@ -203,6 +206,12 @@ def similar_documents(docs: DataFrame, spark: SparkSession, k: int = 5, percent:
     where no other is in the component. Other columns are not carried; an empty table gives an empty result.
     Word sequences and shingles are told apart by 64-bit hashes.
     """
+    with settings(spark, {BATCH_SETTING: str(BATCH_BYTES)}):
+        return _similar(docs, spark, k, percent)
+
+
+def _similar(docs: DataFrame, spark: SparkSession, k: int, percent: int) -> DataFrame:
+    """similar_documents; all that runs Python has run when it returns."""
     base = docs.select("doc_id", text_bytes())
     rows = materialize(base.mapInArrow(_nodes, "doc_id long, node long, empty boolean"), spark)
     least = materialize(rows.where("not empty").groupBy("node").agg(F.min("doc_id").alias("least_doc")), spark)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relfeat.llm.attention import BATCH, WINDOW, Adam, AttentionModel
-from relfeat.llm.common import LARGE_ROWS, by_key, fragments_for, from_nullable, materialize, mix64, nullable, partitions, planes, range_of, slices, text_bytes, unplanes
+from relfeat.llm.common import BATCH_BYTES, BATCH_SETTING, LARGE_ROWS, by_key, fragments_for, from_nullable, materialize, mix64, nullable, partitions, planes, range_of, settings, slices, text_bytes, unplanes
 from relfeat.llm.token_files import encoder
 
 #: How often shards train and their weights are averaged; windows of a shard at least (there are as many shards as partitions at
@@ -34,8 +34,8 @@ from relfeat.llm.token_files import encoder
 ROUNDS, SHARD_WINDOWS, PIECE_WINDOWS, STEP_WINDOWS = 2, 1 << 17, 8192, 256
 #: The weight of a word's share of all words in the prior, and occurrences that the prior weighs as much as beside pair counts.
 SHARE, PRIOR = 0.5, 100.0
-#: Entries of a memo before it is emptied, bytes of text in a chunk, and bytes that Python gets at a time.
-_MEMO, _CHUNK_BYTES, _BATCH_BYTES = 100_000, 3 << 20, 4 << 20
+#: Entries of a memo before it is emptied, and bytes of text in a chunk.
+_MEMO, _CHUNK_BYTES = 100_000, 3 << 20
 #: No word holds a line feed, so this one marks a text's end (and what is before its start).
 _END = b"\n"
 _CHUNK_SQL = "chunk long, documents binary, kinds binary, spelled binary, pieces binary, words binary"
@@ -45,19 +45,10 @@ _REPLY = pa.schema([("chunk", pa.int64()), ("fragment", pa.int32()), ("totals",
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("attention_score", pa.float64()), ("score", pa.float64())])
 
 
-@contextmanager
-def large_rows(spark: SparkSession) -> Iterator[None]:
-    """For rows of some MB meanwhile: Python gets about _BATCH_BYTES at a time, or one row; files are read by rows, not by some
+def large_rows(spark: SparkSession) -> AbstractContextManager[None]:
+    """For rows of some MB meanwhile: Python gets about BATCH_BYTES at a time, or one row; files are read by rows, not by some
     thousand at once; and a shuffle's files go when what it was for is written. For what is run at once; not for lazy frames."""
-    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": str(_BATCH_BYTES), "spark.sql.parquet.enableVectorizedReader": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-    before = {name: spark.conf.get(name) for name in wanted}
-    try:
-        for name, value in wanted.items():
-            spark.conf.set(name, value)
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+    return settings(spark, {BATCH_SETTING: str(BATCH_BYTES), "spark.sql.parquet.enableVectorizedReader": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
 def held_out(folds: int = 7, fold: int = 2) -> Column:

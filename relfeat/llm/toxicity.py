@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relfeat.llm.common import materialize, slices, text_bytes
+from relfeat.llm.common import give_back, materialize, slices, text_bytes
 
 #: Labelled rows that the model learns from at most: those with the least hash of their doc_id.
 MOST_LABELLED = 20_000
@@ -328,6 +328,7 @@ def reject_toxic(docs: DataFrame, model: ToxicityModel, spark: SparkSession, thr
             scores = [spread.value.score(part.column("text").to_pylist()) for part in slices(iter([named]), "text")]
             yield batch.filter(pa.array(np.concatenate([*scores, np.zeros(0)]) < threshold))
         spread.value.lexicon.forget()
+        give_back()
 
     # Names with dots would not be found by mapInArrow.
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))

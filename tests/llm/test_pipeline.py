@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from samples import SCHEMA, prose
 
 import corpus_pipeline
-from relfeat.llm import mixing, toxicity
+from relfeat.llm import common, jaccard, mixing, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -82,6 +83,37 @@ def test_run_is_the_stages_in_turn(spark, folder):
     assert rows[0]["start"] == 0 and rows[-1]["start"] + rows[-1]["n_tokens"] == sum(r["n_tokens"] for r in rows)
 
 
+def test_python_gets_documents_some_mb_at_a_time(spark, folder, monkeypatch):
+    """Whatever their size: 2,000 documents of 10 KB in one partition, in the lazy first stage and in the second."""
+    path, _ = folder
+    frame = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w "), F.repeat(F.concat("id", F.lit(" word ")), 1000)).alias("text")).coalesce(1)
+
+    def watched(inner):
+        def run(batches):
+            def small():
+                for batch in batches:
+                    assert batch.nbytes < 6 << 20, batch.nbytes
+                    yield batch
+
+            return inner(small())
+
+        return run
+
+    blocks, nodes = jaccard._blocks, jaccard._nodes
+    monkeypatch.setattr(jaccard, "_blocks", lambda *a: watched(blocks(*a)))
+    monkeypatch.setattr(jaccard, "_nodes", watched(nodes))
+    before = spark.conf.get(common.BATCH_SETTING)
+    try:
+        spark.conf.unset(common.BATCH_SETTING)
+        assert jaccard.similar_documents(frame, spark).count() == 2000
+        assert spark.conf.get(common.BATCH_SETTING) != str(common.BATCH_BYTES)
+        out = corpus_pipeline.drop_toxic(spark, frame, path)
+        sizes = frame.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+        assert out.count() == 2000 and max(r["n"] for r in sizes.collect()) < 6 << 20
+    finally:
+        spark.conf.set(common.BATCH_SETTING, before)
+
+
 def test_an_empty_corpus_passes(spark, folder, tmp_path):
     path, _ = folder
     for name in ("documents", "labels", "benchmark"):
