@@ -34,10 +34,10 @@ def _flat(x: np.ndarray) -> np.ndarray:
 def _sum_rows(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Rows summed by their number in at."""
     out = np.zeros((n, rows.shape[1]), rows.dtype)
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")  # short ones are sorted by digits
     at = at[order]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    out[at[first]] = np.add.reduceat(rows[order], first, 0)
+    out[at[first]] = np.add.reduceat(rows.take(order, 0), first, 0)
     return out
 
 
@@ -103,8 +103,8 @@ class AttentionModel:
     def look(self, last: np.ndarray, before: np.ndarray, low: int = 0) -> tuple[np.ndarray, tuple]:
         """The hidden layer at the places from low of each window, and what a step back needs."""
         w = self.weights
-        x = w["last"][last]
-        x += w["before"][before]
+        x = w["last"].take(last, 0)
+        x += w["before"].take(before, 0)
         x += w["position"]
         n, many, _ = x.shape
         q = (_flat(x[:, low:]) @ (w["query"] * _SCALE)).reshape(n, many - low, WIDTH)
@@ -121,42 +121,35 @@ class AttentionModel:
         np.maximum(h, 0, out=h)
         return h, (x, q, k, v, a, y)
 
-    def _by_class(self, following: np.ndarray):
-        """(class, which places, their members) of each class among the following ids."""
-        group, member = np.divmod(following, self.size)
-        order = np.argsort(group, kind="stable")
-        cut = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(cut)).tolist():
-            at = order[cut[c] : cut[c + 1]]
-            yield c, at, member[at]
-
     @staticmethod
-    def _log_softmax(z: np.ndarray, chosen: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        """The chosen entries' log shares, and all shares if they are to be kept. z is overwritten."""
+    def _log_softmax(z: np.ndarray, chosen: np.ndarray, share: np.ndarray | None = None) -> np.ndarray:
+        """The chosen entries' log shares. z is overwritten: given how much each row counts, by the loss's gradients."""
         np.minimum(z, _LIMIT, out=z)
-        out = z[np.arange(len(z)), chosen]
+        rows = np.arange(len(z))
+        out = z[rows, chosen]
         np.exp(z, out=z)
         total = z @ np.ones(z.shape[1], z.dtype)
-        if keep:
-            z /= total[:, None]
+        if share is not None:
+            z *= (share / total)[:, None]
+            z[rows, chosen] -= share
         out -= np.log(total)
-        return out, z if keep else None
+        return out
 
     def log_p(self, h: np.ndarray, following: np.ndarray) -> np.ndarray:
         """The natural log probability of the following places."""
         w = self.weights
         group, member = np.divmod(following, self.size)
         order = np.argsort(group.astype(np.int16), kind="stable")
-        group, member, h = group[order], member[order], h[order]
+        group, member, h = group[order], member[order], h.take(order, 0)
         sums = h @ w["class"]
         sums += w["class_bias"]
-        own, _ = self._log_softmax(sums, group, False)
+        own = self._log_softmax(sums, group)
         cut = np.searchsorted(group, np.arange(self.classes + 1)).tolist()
         for c, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             if i < j:
                 z = h[i:j] @ w["member"][c]
                 z += w["member_bias"][c]
-                own[i:j] += self._log_softmax(z, member[i:j], False)[0]
+                own[i:j] += self._log_softmax(z, member[i:j])
         out = np.empty(len(own))
         out[order] = own
         return out
@@ -164,34 +157,43 @@ class AttentionModel:
     def gradients(self, last: np.ndarray, before: np.ndarray, following: np.ndarray, alive: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of the following ids where alive, and its gradients."""
         w = self.weights
-        h, (x, q, k, v, a, y) = self.look(last, before)
-        following, alive = following.ravel(), alive.ravel()
-        share = (alive / max(1, int(alive.sum()))).astype(h.dtype)[:, None]
-        z = h @ w["class"] + w["class_bias"]
-        chosen = following // self.size
-        gain, p = self._log_softmax(z, chosen, True)
-        p[np.arange(len(p)), chosen] -= 1
-        p *= share
-        g = {"class": h.T @ p, "class_bias": p.sum(0), "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
-        dh = p @ w["class"].T
-        for c, at, member in self._by_class(following):
-            own, p = self._log_softmax(h[at] @ w["member"][c] + w["member_bias"][c], member, True)
-            gain[at] += own
-            p[np.arange(len(p)), member] -= 1
-            p *= share[at]
-            g["member"][c], g["member_bias"][c] = h[at].T @ p, p.sum(0)
-            dh[at] += p @ w["member"][c].T
-        dh *= h > 0
-        g["hidden"], g["shift"] = _flat(y).T @ dh, dh.sum(0)
+        seen, (x, q, k, v, a, y) = self.look(last, before)
+        # In the order of their classes, so that each class has its rows together.
+        group, member = np.divmod(following.ravel(), self.size)
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        group, member, h = group[order], member[order], seen.take(order, 0)
+        share = (alive.ravel()[order] / max(1, int(alive.sum()))).astype(h.dtype)
+        ones = np.ones(len(h), h.dtype)
+        p = h @ w["class"]
+        p += w["class_bias"]
+        gain = self._log_softmax(p, group, share)
+        g = {"class": h.T @ p, "class_bias": ones @ p, "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
+        sorted_dh = p @ w["class"].T
+        cut = np.searchsorted(group, np.arange(self.classes + 1)).tolist()
+        for c, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if i < j:
+                p = h[i:j] @ w["member"][c]
+                p += w["member_bias"][c]
+                gain[i:j] += self._log_softmax(p, member[i:j], share[i:j])
+                np.matmul(h[i:j].T, p, out=g["member"][c])
+                np.matmul(ones[i:j], p, out=g["member_bias"][c])
+                sorted_dh[i:j] += p @ w["member"][c].T
+        sorted_dh *= h > 0
+        dh = np.empty_like(sorted_dh)
+        dh[order] = sorted_dh
+        g["hidden"], g["shift"] = _flat(y).T @ dh, ones @ dh
         dy = (dh @ w["hidden"].T).reshape(y.shape)
         da, dv = dy @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dy
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
+        # The sum of a * da over what is looked at is dy's product with what was seen there.
+        da -= (dy * (y - x)).sum(-1, keepdims=True)
+        da *= a
+        ds = da
         dq, dk = ds @ k * _SCALE, ds.transpose(0, 2, 1) @ q
         g |= {name: _flat(x).T @ _flat(d) for name, d in (("query", dq), ("key", dk), ("value", dv))}
         dx = dy + (_flat(dq) @ w["query"].T + _flat(dk) @ w["key"].T + _flat(dv) @ w["value"].T).reshape(x.shape)
         g["position"] = dx.sum(0)
         g["last"], g["before"] = (_sum_rows(_flat(dx), at.ravel(), len(w["last"])) for at in (last, before))
-        return -float(gain @ share[:, 0]), g
+        return -float(gain @ share), g
 
     def fit(self, last: np.ndarray, before: np.ndarray, following: np.ndarray, alive: np.ndarray, start: float = 1.0, end: float = 0.0, epochs: int = 1, seed: int = 6) -> AttentionModel:
         """Adam over the windows, BATCH at a time, in an order of its own; the step falls from start to end times RATE."""

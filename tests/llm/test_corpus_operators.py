@@ -407,6 +407,15 @@ def _probabilities(model, last, before, at):
     return place[model.place] * np.exp(model.share)
 
 
+@pytest.mark.parametrize("n", [1 << 16, (1 << 16) + 1])
+def test_rows_are_summed_by_number(n):
+    """Also by numbers that 16 bits just hold, or don't."""
+    at = np.array([n - 1, 0, 5, n - 1, 0, n - 2, n - 1])
+    rows, wanted = np.arange(14, dtype=np.float32).reshape(7, 2), np.zeros((n, 2), np.float32)
+    np.add.at(wanted, at, rows)
+    assert np.array_equal(attention._sum_rows(rows, at, n), wanted)
+
+
 def test_attention_learns_and_is_a_distribution(tiny_model):
     model, texts, windows = tiny_model
     sizes = np.array(list(map(len, texts)))
