@@ -19,6 +19,8 @@ WINDOW, CONTEXT = 32, 6
 WIDTH, HIDDEN = 16, 32
 #: Windows of a training step, and of a scoring step.
 BATCH, _SCORED = 32, 512
+#: Windows that the attention looks at together, and rows at least that the softmax takes together: what stays near a core.
+_LOOKED, _ROWS = 128, 2048
 #: Adam's rates of forgetting, and its step.
 _FORGET, _FORGET_SQUARES, RATE = 0.9, 0.99, 0.02
 _MASK = np.tri(WINDOW, dtype=np.float32)
@@ -100,100 +102,148 @@ class AttentionModel:
             back = back.copy()
         return out[0], out[1], following
 
-    def look(self, last: np.ndarray, before: np.ndarray, low: int = 0) -> tuple[np.ndarray, tuple]:
-        """The hidden layer at the places from low of each window, and what a step back needs."""
+    def _inward(self) -> np.ndarray:
+        """What gives queries (scaled), keys and values from what stands at a place, beside which is a nought."""
         w = self.weights
-        x = w["last"].take(last, 0)
-        x += w["before"].take(before, 0)
-        x += w["position"]
-        n, many, _ = x.shape
-        q = (_flat(x[:, low:]) @ (w["query"] * _SCALE)).reshape(n, many - low, WIDTH)
-        k, v = (_flat(x) @ w["key"]).reshape(x.shape), (_flat(x) @ w["value"]).reshape(x.shape)
-        a = q @ k.transpose(0, 2, 1)
-        # Scores beyond the limit, which training doesn't reach, count as it, so that exponentials need no shift.
-        np.minimum(a, _LIMIT, out=a)
-        np.exp(a, out=a)
-        a *= _MASK[low:]
-        a /= a @ np.ones((many, 1), a.dtype) + np.float32(1e-30)
-        y = x[:, low:] + a @ v
-        h = _flat(y) @ w["hidden"]
-        h += w["shift"]
-        np.maximum(h, 0, out=h)
-        return h, (x, q, k, v, a, y)
-
-    @staticmethod
-    def _log_softmax(z: np.ndarray, chosen: np.ndarray, share: np.ndarray | None = None) -> np.ndarray:
-        """The chosen entries' log shares. z is overwritten: given how much each row counts, by the loss's gradients."""
-        np.minimum(z, _LIMIT, out=z)
-        rows = np.arange(len(z))
-        out = z[rows, chosen]
-        np.exp(z, out=z)
-        total = z @ np.ones(z.shape[1], z.dtype)
-        if share is not None:
-            z *= (share / total)[:, None]
-            z[rows, chosen] -= share
-        out -= np.log(total)
+        out = np.zeros((WIDTH + 1, 3 * WIDTH), w["key"].dtype)
+        np.concatenate((w["query"] * _SCALE, w["key"], w["value"]), 1, out=out[:WIDTH])
         return out
 
-    def log_p(self, h: np.ndarray, following: np.ndarray) -> np.ndarray:
-        """The natural log probability of the following places."""
+    def look(self, last: np.ndarray, before: np.ndarray, low: int = 0, kept: list | None = None) -> np.ndarray:
+        """The hidden layer at the places from low of each window, and a column of ones. kept: gets what a step back needs."""
+        w = self.weights
+        n, many = last.shape
+        kind, inward = w["hidden"].dtype, self._inward()
+        wide = lambda part: np.concatenate((part, np.zeros((len(part), 1), kind)), 1)
+        tables = wide(w["last"]), wide(w["before"]), wide(w["position"])
+        outward = np.zeros((WIDTH + 1, HIDDEN + 1), kind)
+        outward[:WIDTH, :HIDDEN], outward[WIDTH, :HIDDEN], outward[WIDTH, HIDDEN] = w["hidden"], w["shift"], 1
+        h = np.empty((n, many - low, HIDDEN + 1), kind)
+        for i in range(0, n, _LOOKED):
+            x = tables[0].take(last[i : i + _LOOKED], 0)
+            x += tables[1].take(before[i : i + _LOOKED], 0)
+            x += tables[2]
+            # Queries, keys, values, and a one, of which a row of a sees the row's sum.
+            qkv = np.empty((*x.shape[:2], 3 * WIDTH + 1), kind)
+            np.matmul(_flat(x), inward, out=_flat(qkv)[:, :-1])
+            qkv[..., -1] = 1
+            a = qkv[:, low:, :WIDTH] @ qkv[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1)
+            # Scores beyond the limit, which training doesn't reach, count as it, so that exponentials need no shift.
+            if a.max() > _LIMIT:
+                np.minimum(a, _LIMIT, out=a)
+            np.exp(a, out=a)
+            a *= _MASK[low:]
+            seen = a @ qkv[..., 2 * WIDTH :]
+            total = seen[..., WIDTH:] + np.float32(1e-30)
+            seen /= total
+            y = seen + x[:, low:]
+            np.matmul(_flat(y), outward, out=_flat(h[i : i + _LOOKED]))
+            if kept is not None:
+                kept.append((x, qkv, a, seen, total, y))
+        h = _flat(h)
+        return np.maximum(h, 0, out=h)
+
+    def heads(self) -> np.ndarray:
+        """For each class, what gives the classes and its own members from the hidden layer and a one."""
         w = self.weights
-        group, member = np.divmod(following, self.size)
+        out = np.empty((self.classes, HIDDEN + 1, self.classes + self.size), w["class"].dtype)
+        out[:, :HIDDEN, : self.classes], out[:, HIDDEN, : self.classes] = w["class"], w["class_bias"]
+        out[:, :HIDDEN, self.classes :], out[:, HIDDEN, self.classes :] = w["member"], w["member_bias"]
+        return out
+
+    def _by_class(self, following: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, list]]]:
+        """An order by class, the classes and members in that order, and parts of it of some thousand rows: each part's span, and the
+        classes in it with theirs from its start."""
+        group, member = np.divmod(following.astype(np.int32), np.int32(self.size))
         order = np.argsort(group.astype(np.int16), kind="stable")
-        group, member, h = group[order], member[order], h.take(order, 0)
-        sums = h @ w["class"]
-        sums += w["class_bias"]
-        own = self._log_softmax(sums, group)
-        cut = np.searchsorted(group, np.arange(self.classes + 1)).tolist()
-        for c, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            if i < j:
-                z = h[i:j] @ w["member"][c]
-                z += w["member_bias"][c]
-                own[i:j] += self._log_softmax(z, member[i:j])
-        out = np.empty(len(own))
-        out[order] = own
+        many = np.bincount(group, minlength=self.classes).tolist()
+        parts, low, at, spans = [], 0, 0, []
+        for c, n in enumerate(many):
+            if n:
+                spans.append((c, at - low, at - low + n))
+                at += n
+                if at - low >= _ROWS:
+                    parts.append((low, at, spans))
+                    low, spans = at, []
+        if spans:
+            parts.append((low, at, spans))
+        return order, group[order], member[order], parts
+
+    def _shares(self, h: np.ndarray, heads: np.ndarray, group: np.ndarray, member: np.ndarray, spans: list) -> tuple[np.ndarray, ...]:
+        """Of rows by class: exponentials for the classes and for the own class's members, their sums, where the chosen ones stand
+        in them, and the log probabilities."""
+        z = np.empty((len(h), heads.shape[2]), h.dtype)
+        for c, i, j in spans:
+            np.matmul(h[i:j], heads[c], out=z[i:j])
+        if z.max() > _LIMIT:
+            np.minimum(z, _LIMIT, out=z)
+        at = np.arange(0, z.size, z.shape[1])
+        at = at + group, at + (member + self.classes)
+        own = z.ravel().take(at[0])
+        own += z.ravel().take(at[1])
+        np.exp(z, out=z)
+        ones = np.ones(z.shape[1], z.dtype)
+        total = z[:, : self.classes] @ ones[: self.classes], z[:, self.classes :] @ ones[self.classes :]
+        own -= np.log(total[0] * total[1])
+        return z, total, at, own
+
+    def log_p(self, h: np.ndarray, rows: np.ndarray, following: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """The natural log probability of the places that follow some rows of the hidden layer."""
+        order, group, member, parts = self._by_class(following)
+        rows, out = rows[order], np.empty(len(rows))
+        for i, j, spans in parts:
+            out[order[i:j]] = self._shares(h.take(rows[i:j], 0), heads, group[i:j], member[i:j], spans)[3]
         return out
 
     def gradients(self, last: np.ndarray, before: np.ndarray, following: np.ndarray, alive: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of the following ids where alive, and its gradients."""
-        w = self.weights
-        seen, (x, q, k, v, a, y) = self.look(last, before)
-        # In the order of their classes, so that each class has its rows together.
-        group, member = np.divmod(following.ravel(), self.size)
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        group, member, h = group[order], member[order], seen.take(order, 0)
+        w, kept = self.weights, []
+        h = self.look(last, before, kept=kept)
+        order, group, member, parts = self._by_class(following.ravel())
         share = (alive.ravel()[order] / max(1, int(alive.sum()))).astype(h.dtype)
-        ones = np.ones(len(h), h.dtype)
-        p = h @ w["class"]
-        p += w["class_bias"]
-        gain = self._log_softmax(p, group, share)
-        g = {"class": h.T @ p, "class_bias": ones @ p, "member": np.zeros_like(w["member"]), "member_bias": np.zeros_like(w["member_bias"])}
-        sorted_dh = p @ w["class"].T
-        cut = np.searchsorted(group, np.arange(self.classes + 1)).tolist()
-        for c, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            if i < j:
-                p = h[i:j] @ w["member"][c]
-                p += w["member_bias"][c]
-                gain[i:j] += self._log_softmax(p, member[i:j], share[i:j])
-                np.matmul(h[i:j].T, p, out=g["member"][c])
-                np.matmul(ones[i:j], p, out=g["member_bias"][c])
-                sorted_dh[i:j] += p @ w["member"][c].T
-        sorted_dh *= h > 0
-        dh = np.empty_like(sorted_dh)
-        dh[order] = sorted_dh
-        g["hidden"], g["shift"] = _flat(y).T @ dh, ones @ dh
-        dy = (dh @ w["hidden"].T).reshape(y.shape)
-        da, dv = dy @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dy
-        # The sum of a * da over what is looked at is dy's product with what was seen there.
-        da -= (dy * (y - x)).sum(-1, keepdims=True)
-        da *= a
-        ds = da
-        dq, dk = ds @ k * _SCALE, ds.transpose(0, 2, 1) @ q
-        g |= {name: _flat(x).T @ _flat(d) for name, d in (("query", dq), ("key", dk), ("value", dv))}
-        dx = dy + (_flat(dq) @ w["query"].T + _flat(dk) @ w["key"].T + _flat(dv) @ w["value"].T).reshape(x.shape)
-        g["position"] = dx.sum(0)
-        g["last"], g["before"] = (_sum_rows(_flat(dx), at.ravel(), len(w["last"])) for at in (last, before))
-        return -float(gain @ share), g
+        heads = self.heads()
+        back = np.ascontiguousarray(heads.transpose(0, 2, 1))
+        g_heads, dh, loss = np.zeros_like(heads), np.empty_like(h), 0.0
+        for low, high, spans in parts:
+            own, weight = h.take(order[low:high], 0), share[low:high]
+            z, total, at, gain = self._shares(own, heads, group[low:high], member[low:high], spans)
+            loss -= float(gain @ weight)
+            z[:, : self.classes] *= (weight / total[0])[:, None]
+            z[:, self.classes :] *= (weight / total[1])[:, None]
+            flat = z.reshape(-1)
+            for chosen in at:
+                flat[chosen] -= weight
+            own_dh = dh[low:high]
+            for c, i, j in spans:
+                np.matmul(own[i:j].T, z[i:j], out=g_heads[c])
+                np.matmul(z[i:j], back[c], out=own_dh[i:j])
+            own_dh *= own > 0
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        dh = dh.take(place, 0)
+        of_class = g_heads[:, :, : self.classes].sum(0)
+        g = {"class": of_class[:HIDDEN], "class_bias": of_class[HIDDEN], "member": g_heads[:, :HIDDEN, self.classes :], "member_bias": g_heads[:, HIDDEN, self.classes :]}
+        inward, hidden = self._inward(), np.zeros((HIDDEN + 1, WIDTH + 1), h.dtype)
+        hidden[:HIDDEN, :WIDTH] = w["hidden"].T
+        dx, g_in, g_out = np.empty((*last.shape, WIDTH + 1), h.dtype), 0, 0
+        for n, (x, qkv, a, seen, total, y) in enumerate(kept):
+            own_dh = dh[n * _LOOKED * WINDOW : (n + 1) * _LOOKED * WINDOW]
+            g_out = g_out + _flat(y).T @ own_dh
+            dy = (own_dh @ hidden).reshape(x.shape)
+            # Against the ones stands what keeps a row's sum.
+            dy[..., WIDTH] = -np.einsum("nij,nij->ni", dy, seen)
+            ds = dy / total
+            d = np.empty((*x.shape[:2], 3 * WIDTH), h.dtype)
+            np.matmul(a.transpose(0, 2, 1), ds[..., :WIDTH], out=d[..., 2 * WIDTH :])
+            a *= ds @ qkv[..., 2 * WIDTH :].transpose(0, 2, 1)
+            np.matmul(a, qkv[..., WIDTH : 2 * WIDTH], out=d[..., :WIDTH])
+            np.matmul(a.transpose(0, 2, 1), qkv[..., :WIDTH], out=d[..., WIDTH : 2 * WIDTH])
+            g_in = g_in + _flat(x).T @ _flat(d)
+            np.add(dy, (_flat(d) @ inward.T).reshape(x.shape), out=dx[n * _LOOKED : (n + 1) * _LOOKED])
+        g |= {"query": g_in[:WIDTH, :WIDTH] * _SCALE, "key": g_in[:WIDTH, WIDTH : 2 * WIDTH], "value": g_in[:WIDTH, 2 * WIDTH :], "hidden": g_out[:WIDTH, :HIDDEN], "shift": g_out[WIDTH, :HIDDEN]}
+        g["position"] = dx.sum(0)[:, :WIDTH]
+        g["last"], g["before"] = (_sum_rows(_flat(dx), at.ravel(), len(w["last"]))[:, :WIDTH] for at in (last, before))
+        return loss, g
 
     def fit(self, last: np.ndarray, before: np.ndarray, following: np.ndarray, alive: np.ndarray, start: float = 1.0, end: float = 0.0, epochs: int = 1, seed: int = 6) -> AttentionModel:
         """Adam over the windows, BATCH at a time, in an order of its own; the step falls from start to end times RATE."""
@@ -214,16 +264,16 @@ class AttentionModel:
         more = np.maximum(-(-(sizes - WINDOW) // (WINDOW - CONTEXT)), 0)  # windows after a text's first
         owner = np.repeat(np.arange(len(sizes)), more)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(more) - more, more) + 1
-        full = np.flatnonzero(sizes)
+        full, heads = np.flatnonzero(sizes), self.heads()
         for low, whose, starts in ((0, full, (ends - sizes)[full]), (CONTEXT, owner, (ends - sizes)[owner] + nth * (WINDOW - CONTEXT))):
             for i in range(0, len(starts), _SCORED):
                 at = starts[i : i + _SCORED, None] + np.arange(WINDOW)
                 alive = at < ends[whose[i : i + _SCORED]][:, None]
                 at = np.minimum(at, len(ids) - 1)
-                h, _ = self.look(last[at], before[at], low)
-                keep = alive[:, low:].ravel()
-                at = at[:, low:].ravel()[keep]
-                out[at] = self.log_p(h[keep], following[at])
+                h = self.look(last[at], before[at], low)
+                rows = np.flatnonzero(alive[:, low:])
+                at = at[:, low:].ravel()[rows]
+                out[at] = self.log_p(h, rows, following[at], heads)
         return out + self.share[ids]
 
     def pack(self) -> np.ndarray:
@@ -254,5 +304,12 @@ class Adam:
             m *= _FORGET
             m += (1 - _FORGET) * v
             s *= _FORGET_SQUARES
-            s += (1 - _FORGET_SQUARES) * v * v
-            self.model.weights[k] -= (pace * m / (np.sqrt(s / (1 - _FORGET_SQUARES**self.t)) + 1e-8)).astype(np.float32)
+            v = v * v
+            v *= 1 - _FORGET_SQUARES
+            s += v
+            np.multiply(s, 1 / (1 - _FORGET_SQUARES**self.t), out=v)
+            np.sqrt(v, out=v)
+            v += 1e-8
+            np.divide(m, v, out=v)
+            v *= pace
+            self.model.weights[k] -= v

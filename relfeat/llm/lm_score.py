@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from contextlib import AbstractContextManager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ from relfeat.llm.token_files import encoder
 ROUNDS, SHARD_WINDOWS, PIECE_WINDOWS, STEP_WINDOWS = 2, 1 << 17, 8192, 256
 #: The weight of a word's share of all words in the prior, and occurrences that the prior weighs as much as beside pair counts.
 SHARE, PRIOR = 0.5, 100.0
-#: Entries of a memo before it is emptied, and bytes of text in a chunk.
-_MEMO, _CHUNK_BYTES = 100_000, 3 << 20
+#: Recent words of a memo before its older ones go, pieces of words before theirs is emptied, and bytes of text in a chunk.
+_MEMO, _PIECES, _CHUNK_BYTES = 250_000, 100_000, 3 << 20
 #: No word holds a line feed, so this one marks a text's end (and what is before its start).
 _END = b"\n"
 _CHUNK_SQL = "chunk long, documents binary, kinds binary, spelled binary, pieces binary, words binary"
@@ -56,30 +57,39 @@ def held_out(folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-class _Spelled(dict):
-    """Memo of the ids of words that came twice in a chunk, as bytes of little-endian uint32. The end has the id `vocabulary`."""
+class _Spelled:
+    """Memo of words' ids, as bytes of little-endian uint32. The end has the id `vocabulary`.
+
+    When _MEMO recent words are exceeded they become the older ones, and those before them go; an older word that comes is recent again.
+    """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         self.words = encoder(path)
         self.end = np.array([self.words.library.get_vocab_size()], "<u4").tobytes()
-
-    def of(self, words: list[bytes], often: list[bool]) -> list[bytes]:
-        """The ids of distinct words, the last of which is the end; often: which to remember."""
-        out = [self.get(w) for w in words]
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words, the last of which is the end."""
+        if len(self.recent) > _MEMO:
+            self.older, self.recent = self.recent, {}
+        out = [*map(self.recent.get, words)]
         out[-1] = self.end
-        if len(self) > _MEMO:
-            self.clear()
         for i, ids in enumerate(out):
             if ids is None:
-                out[i] = ids = self.words.spell(words[i])
-                if often[i]:
-                    self[words[i]] = ids
-        if len(self.words.pieces) > _MEMO:
+                ids = self.older.get(words[i])
+                out[i] = self.recent[words[i]] = self.words.spell(words[i]) if ids is None else ids
+        if len(self.words.pieces) > _PIECES:
             self.words.pieces.clear()
         return out
 
 
+@lru_cache(maxsize=2)
+def _spelled(path: str) -> _Spelled:
+    """One a process, so that the next task of a reused worker finds the words known."""
+    return _Spelled(path)
+
+
 def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Of texts (as bytes) the words of each, its end counted, and each one's number among the distinct words, of which the
     end is the last. Only ASCII letters are lower-cased and only ASCII white space parts words, whatever the other bytes are."""
@@ -99,7 +109,7 @@ def _chunks(path: str):
     """Texts as numbers: each chunk's distinct words by hash, their ids, and its texts as sequences of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled, part = _Spelled(path), TaskContext.get().partitionId()
+        spelled, part = _spelled(path), TaskContext.get().partitionId()
         for number, batch in enumerate(slices(batches, "text", _CHUNK_BYTES)):
             held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint8)
             sizes, which, local = _coded(batch.column("text"))
@@ -108,7 +118,7 @@ def _chunks(path: str):
             order = np.argsort(kinds, kind="stable")
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
-            ids = spelled.of(local, (np.bincount(which, minlength=len(local)) > 1).tolist())
+            ids = spelled.of(local)
             ids = [ids[i] for i in order.tolist()]
             about = np.int64(len(sizes)).tobytes() + nullable(batch.column("doc_id").to_pylist()) + held.tobytes() + batch.column("row").to_numpy().astype("<i8").tobytes() + sizes.astype("<i8").tobytes()
             columns = (about, planes(kinds[order]), np.frombuffer(b"".join(ids), "<u4").astype("<u2").tobytes(), planes(np.fromiter(map(len, ids), np.uint32, len(ids)) // 4), planes(place[which]))

@@ -435,6 +435,46 @@ def test_attention_learns_and_is_a_distribution(tiny_model):
         at += len(ids)
 
 
+def test_attention_does_not_depend_on_its_blocks(tiny_model, monkeypatch):
+    """Neither scores nor gradients, whether windows and classes are taken one at a time or all together."""
+    model, texts, windows = tiny_model
+    sizes, whole = np.array(list(map(len, texts))), np.concatenate(texts)
+    trained = model.unpack(model.pack()).fit(*windows, epochs=2)
+    expected = None
+    for blocks in ((1, 1), (3, 40), (10**6, 10**6)):
+        for name, value in zip(("_LOOKED", "_ROWS"), blocks, strict=True):
+            monkeypatch.setattr(attention, name, value)
+        loss, grads = trained.gradients(*windows)
+        got = [np.array([loss]), trained.scores(whole, sizes), *(grads[k] for k in sorted(grads))]
+        expected = expected or got
+        assert all(np.allclose(g, e, rtol=1e-4, atol=1e-5) for g, e in zip(got, expected, strict=True))
+
+
+def test_attention_scores_beyond_the_limit(tiny_model):
+    """Exponents that would overflow count as the limit: scores and gradients stay finite."""
+    model, texts, windows = tiny_model
+    sizes, whole = np.array(list(map(len, texts))), np.concatenate(texts)
+    for name in ("query", "class", "member"):
+        large = model.unpack(model.pack())
+        large.weights[name] = large.weights[name] * 1e4 + 200 * (name != "query")
+        loss, grads = large.gradients(*windows)
+        assert np.isfinite(loss) and np.isfinite(large.scores(whole, sizes)).all() and all(np.isfinite(g).all() for g in grads.values()), name
+
+
+def test_words_are_spelled_once_while_remembered(monkeypatch):
+    """Also words that came once in a chunk; those that come again and again outlive those that don't."""
+    monkeypatch.setattr(lm_score, "_MEMO", 50)
+    spelled, asked = lm_score._Spelled(lm_score.public_tokenizers.path("word_bpe_49k.json")), Counter()
+    spell = spelled.words.spell
+    monkeypatch.setattr(spelled.words, "spell", lambda word: asked.update([word]) or spell(word), raising=False)
+    common_words = [b"often", b"again,", "größe".encode()]
+    for i in range(40):
+        words = [*common_words, *(b"rare%d" % (20 * i + j) for j in range(20)), lm_score._END]
+        ids = spelled.of(words)
+        assert ids == [*map(spell, words[:-1]), spelled.end]
+    assert [asked[w] for w in common_words] == [1, 1, 1] and len(spelled.recent) + len(spelled.older) < 160
+
+
 # Top k
 
 
